@@ -7,10 +7,11 @@ corrected for chance agreement. What passes the estimate is confirmed on full se
 
 Pairs are never all emitted. Equal sets are merged first. In a first round every row
 of a bucket offers its best few neighbours only; confirmed links are joined into
-components. In a second round pairs within a component need no test, and all the
-others that pass the estimate get one. Buckets over CELL rows are dealt out to cells
-of at most two slices, so that a hot bucket is spread over many tasks with bounded
-memory and no pair is left out.
+components. In a second round pairs within a component need no test; all others that
+pass the estimate are tested on full sets inside their bucket, which emits only the
+links that join components. Buckets over CELL rows or CELL_SHINGLES are dealt out to
+cells of at most two slices, so that a hot bucket is spread over many tasks with
+bounded memory and no pair is left out.
 
 Defined cases: a null or wordless text has n_shingles 0 and links with nothing; a row
 whose id is null links with nothing, has a null component and is kept; rows that share
@@ -39,6 +40,8 @@ DEVIATIONS = 4.0
 REACH = 16
 #: Rows of a bucket that one cell of the second round takes from a slice.
 CELL = 4096
+#: Shingles of a bucket that one cell takes from a slice.
+CELL_SHINGLES = 1 << 21
 
 _A = (coefficients(K, 3) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _C = (coefficients(K, 4) >> np.uint64(32)).astype(np.uint32)
@@ -188,25 +191,87 @@ def _near(least: float, percent: int):
     return run
 
 
-def _rest(least: float, percent: int):
-    """Second round: of a cell all pairs of different components that pass the estimate; in a cell of two slices, those across."""
+class _Cell:
+    """The rows of one cell: a bucket, or two slices of a large one.
+
+    A pair belongs to the first band in which its documents meet; other cells pass it by.
+    """
+
+    def __init__(self, t: pa.Table, percent: int, least: float):
+        take = lambda name: np.asarray(t.column(name))
+        self.ids, self.n, self.comp, self.part = take("id"), take("n"), take("comp"), take("part")
+        self.band, self.across = int(t.column("band")[0].as_py()), t.column("lo")[0] != t.column("hi")[0]
+        self.sig = _words(t.column("sig"))
+        bands = t.column("bands").combine_chunks()
+        self.bands = np.asarray((bands.chunk(0) if isinstance(bands, pa.ChunkedArray) else bands).flatten()).reshape(-1, BANDS)[:, : self.band]
+        self.percent, self.least = percent, least
+
+    def partners(self, i: int, comp: np.ndarray) -> np.ndarray:
+        """The rows after i that are of another component, near enough in size and by estimate, and meet i here first."""
+        j = np.arange(i + 1, len(self.ids))
+        good = (comp[j] != comp[i]) & (100 * np.minimum(self.n[j], self.n[i]) >= self.percent * np.maximum(self.n[j], self.n[i]))
+        if self.across:
+            good &= self.part[j] != self.part[i]
+        j = j[good]
+        if len(j):
+            j = j[estimated(self.sig[j], self.sig[i]) >= self.least]
+        return j[~(self.bands[j] == self.bands[i]).any(axis=1)] if len(j) else j
+
+
+def _cells(batches: Iterator[pa.RecordBatch]):
+    """The table of each cell of a sorted partition."""
+    for t in _runs_of(batches, 3):
+        key, lo, hi = (np.asarray(t.column(c)) for c in range(3))
+        new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))))
+        for x, y in zip(new, [*new[1:], len(key)], strict=True):
+            if y - x > 1:
+                yield t.slice(x, y - x)
+
+
+def _unsettled(least: float, percent: int):
+    """Of each cell the rows that have a partner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _cells(batches):
+            cell = _Cell(t, percent, least)
+            keep = np.zeros(len(cell.ids), bool)
+            for i in range(len(cell.ids) - 1):
+                j = cell.partners(i, cell.comp)
+                if len(j):
+                    keep[i] = True
+                    keep[j] = True
+            if keep.any():
+                yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return run
+
+
+def _settled(least: float, percent: int):
+    """Of each cell links, confirmed on full sets, that join all of its components that are linked here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs_of(batches, 3):
-            key, lo, hi, ids, n, comp, part = (np.asarray(t.column(c)) for c in (0, 1, 2, 3, 4, 6, 7))
-            sig = _words(t.column(5))
-            new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))))
-            for x, y in zip(new, [*new[1:], len(key)], strict=True):
-                across = lo[x] != hi[x]
-                for i in range(x, y - 1):
-                    j = np.arange(i + 1, y)
-                    j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
-                    if across:
-                        j = j[part[j] != part[i]]
-                    if len(j):
-                        j = j[estimated(sig[j], sig[i]) >= least]
-                    if len(j):
-                        yield _pairs(np.full(len(j), ids[i]), ids[j])
+        for t in _cells(batches):
+            cell = _Cell(t, percent, least)
+            sets = [np.asarray(x.values) for x in t.column("shingles")]
+            begin = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+            codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            mark, comp, a, b = np.zeros(int(codes.max()) + 1, np.int64), cell.comp.copy(), [], []
+            for i in range(len(cell.ids) - 1):
+                j = cell.partners(i, comp)
+                if not len(j):
+                    continue
+                mark[codes[begin[i] : begin[i + 1]]] = 1
+                for k in range(0, len(j), 256):
+                    some = j[k : k + 256]
+                    both = np.add.reduceat(mark[np.concatenate([codes[begin[x] : begin[x + 1]] for x in some])], np.concatenate(([0], np.cumsum(cell.n[some])[:-1])))
+                    for x in some[100 * both >= percent * (cell.n[some] + cell.n[i] - both)]:
+                        if comp[x] != comp[i]:
+                            comp[comp == comp[x]] = comp[i]
+                            a.append(cell.ids[i])
+                            b.append(cell.ids[x])
+                mark[codes[begin[i] : begin[i + 1]]] = 0
+            if a:
+                yield _pairs(np.array(a), np.array(b))
 
     return run
 
@@ -234,23 +299,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lone = found.join(merged, (found.digest == merged.digest) & (found.id == merged.rep), "left_semi")
     texts = rows.join(merged, rows.id == merged.rep, "left_semi")
     least = cut(percent / 100)
-    banded = lone.select(F.explode("bands").alias("key"), "id", "n", "sig")
+    features = lone.select("id", "sig", "bands")
+    narrow = lone.select("id", "n", F.posexplode("bands").alias("band", "key"))
+    busy = narrow.groupBy("key").count().filter("count > 1").select("key")
+    multi = checkpoint(narrow.join(busy, "key", "left_semi"))  # buckets of one row are most, and go here
+    banded = multi.join(features, "id").select("key", "id", "n", "sig")
     first = banded.repartition("key").sortWithinPartitions("key", "n", "id").mapInArrow(_near(least, percent), "a long, b long")
     tested = checkpoint(first.distinct())
     links = checkpoint(_confirmed(tested, texts, percent))
     comps = connected_components(links, "a", "b")
 
-    labelled = lone.join(comps, lone.id == comps.node, "left").select("id", "n", "sig", "bands", F.coalesce("component", "id").alias("comp"))
-    spread = labelled.select(F.explode("bands").alias("key"), "id", "n", "sig", "comp")
-    open_ = spread.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("rows")).filter("c0 <> c1")
-    open_ = open_.select("key", F.ceil(F.col("rows") / CELL).cast("int").alias("slices"))
-    cells = spread.join(open_, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
+    spread = multi.join(comps, multi.id == comps.node, "left").select("key", "band", "id", "n", F.coalesce("component", "id").alias("comp"))
+    open_ = spread.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("rows"), F.sum("n").alias("size")).filter("c0 <> c1")
+    open_ = open_.select("key", F.ceil(F.greatest(F.col("rows") / CELL, F.col("size") / CELL_SHINGLES)).cast("int").alias("slices"))
+    cells = spread.join(open_, "key").join(features, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    cells = cells.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "id", "n", "sig", "comp", "part")
-    second = cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_rest(least, percent), "a long, b long")
-    more = checkpoint(second.distinct().join(tested, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = checkpoint(links.unionByName(_confirmed(more, texts, percent)))
+    cells = cells.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "band", "id", "n", "comp", "part", "sig", "bands")
+    cell = ["key", "lo", "hi"]
+    kind = "key long, lo int, hi int, band int, id long, n long, comp long, part int, sig binary, bands array<long>"
+    unsettled = checkpoint(cells.repartition(*cell).sortWithinPartitions(*cell, "id").mapInArrow(_unsettled(least, percent), kind))
+    if not unsettled.isEmpty():
+        need = unsettled.select("id").distinct()
+        full = texts.join(need, "id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>")
+        rows_ = unsettled.join(full, "id").select(*unsettled.columns, "shingles")
+        more = checkpoint(rows_.repartition(*cell).sortWithinPartitions(*cell, "id").mapInArrow(_settled(least, percent), "a long, b long").distinct())
+        links = links.unionByName(more)
         comps = connected_components(links, "a", "b")
 
     sets = found.join(merged, "digest", "left").select("id", "n", "rep")
