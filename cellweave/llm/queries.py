@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellweave.llm import exact_dedup, minhash
+from cellweave.llm import exact_dedup, language, minhash, mixing, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,13 +16,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.query(table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.query(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES |= {"op3_exact_dedup": op3_exact_dedup, "op10_minhash_near_dedup": op10_minhash_near_dedup}
-ORACLES |= {"op3_exact_dedup": exact_dedup.ORACLE, "op10_minhash_near_dedup": minhash.ORACLE}
+QUERIES |= {f.__name__: f for f in (op1_best_fit_packing, op3_exact_dedup, op7_language_id, op8_mixing, op10_minhash_near_dedup)}
+ORACLES |= {"op3_exact_dedup": exact_dedup.ORACLE, "op8_mixing": mixing.ORACLE, "op10_minhash_near_dedup": minhash.ORACLE}
