@@ -35,6 +35,8 @@ from cellweave.util import checkpoint
 THRESHOLD = 0.98
 #: Vectors of a shard at most; centres of one split; a second shard within MARGIN of the best one's cosine.
 SHARD, CENTRES, MARGIN, LEVELS = 2048, 64, 0.12, 8
+#: Centres as near to each other as this are one, so that a dense group stays together; a shard with one centre isn't split further up to DENSE vectors.
+CLOSE, DENSE, WHOLE = 0.9, 1 << 15, "!"
 #: Rows that one task deals to centres.
 SLICE = 20000
 #: Candidates, far candidates, kept neighbours, and the slack of robust pruning.
@@ -54,9 +56,18 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1))[:, None]
 
 
+def _apart(units: np.ndarray) -> np.ndarray:
+    """The centres that aren't within CLOSE of one before them."""
+    keep: list[int] = []
+    for i, u in enumerate(units):
+        if not keep or (units[keep] @ u).max() < CLOSE:
+            keep.append(i)
+    return units[keep]
+
+
 def _dealer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Deals vectors to the centres that precede them in a partition sorted by (bucket, slice, is_vector)."""
-    bucket, centres, units = None, [], None
+    bucket, centres, units, end, merge = None, [], None, "", False
     for batch in batches:
         names = np.asarray(batch.column(0).cast(pa.string()).to_pylist(), object)
         part = np.asarray(batch.column(1))
@@ -64,15 +75,18 @@ def _dealer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vector = np.asarray(batch.column(2)) == 1
         for x, y in zip(new, [*new[1:], len(names)], strict=True):
             if bucket != (names[x], part[x]):
-                bucket, centres, units = (names[x], part[x]), [], None
+                bucket, centres, units, end = (names[x], part[x]), [], None, ""
             seeds = np.flatnonzero(~vector[x:y]) + x
             if len(seeds):
                 centres.append(_matrix(batch.column(4).take(pa.array(seeds))))
+                merge = batch.column(6)[int(seeds[0])].as_py() == 1
             rows = np.flatnonzero(vector[x:y]) + x
             if not len(rows):
                 continue
             if units is None:
                 units = _unit(np.concatenate(centres))
+                units = _apart(units) if merge else units
+                end = WHOLE if len(units) == 1 else ""
             index = pa.array(rows)
             near = _unit(_matrix(batch.column(4).take(index))) @ units.T
             order = np.argsort(-near, axis=1, kind="stable")[:, :2]
@@ -84,7 +98,7 @@ def _dealer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out, at, main = [*out, order[close, 1]], [*at, close], [*main, np.zeros(len(close), bool)]
             out, at, main = np.concatenate(out), np.concatenate(at), np.concatenate(main)
             take = pa.array(rows[at])
-            yield pa.RecordBatch.from_arrays([pa.array([f"{names[x]}.{c}" for c in out]), batch.column(3).take(take), batch.column(4).take(take), pa.array(main), batch.column(6).take(take)], ["bucket", "id", "vec", "main", "mult"])
+            yield pa.RecordBatch.from_arrays([pa.array([f"{names[x]}.{c}{end}" for c in out]), batch.column(3).take(take), batch.column(4).take(take), pa.array(main), batch.column(6).take(take)], ["bucket", "id", "vec", "main", "mult"])
 
 
 def shards(reps: DataFrame, limit: int = SHARD) -> DataFrame:
@@ -93,7 +107,8 @@ def shards(reps: DataFrame, limit: int = SHARD) -> DataFrame:
     members = reps.withColumn("main", F.lit(True)).select(cols)
     done = None
     for _ in range(LEVELS):
-        big = checkpoint(members.groupBy("bucket").count().filter(F.col("count") > limit).withColumnRenamed("count", "n"))
+        size = members.groupBy("bucket").agg(F.count("*").alias("n"))
+        big = checkpoint(size.filter((F.col("n") > limit) & ~(F.col("bucket").endswith(WHOLE) & (F.col("n") <= DENSE))))
         if big.isEmpty():
             break
         small = members.join(big, "bucket", "left_anti")
@@ -105,6 +120,7 @@ def shards(reps: DataFrame, limit: int = SHARD) -> DataFrame:
         seeds = some.withColumn("r", F.row_number().over(W.partitionBy("bucket").orderBy("place", "id"))).filter(F.col("r") <= F.col("k"))
         seeds = seeds.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
         own = [F.col(c) for c in ("bucket", "part", "is_vector", "id", "vec", "main", "mult")]
+        seeds = seeds.withColumn("mult", (F.col("n") <= DENSE).cast("long"))  # whether near centres are merged
         both = seeds.withColumn("is_vector", F.lit(0)).select(own).unionByName(large.withColumn("part", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")).withColumn("is_vector", F.lit(1)).select(own))
         dealt = both.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "is_vector", "id").mapInArrow(_dealer, "bucket string, id long, vec array<double>, main boolean, mult long")
         # A vector may come to a shard from two others of the level above.
@@ -193,10 +209,10 @@ class _Search:
         spread[active, node] = True
         near = self.lists[node]
         fresh = (near >= 0) & ~seen[active[:, None], np.maximum(near, 0)]
-        s = np.einsum("qrd,qd->qr", self.units[np.maximum(near, 0)], q[active])
-        s[~fresh] = -2
         r, c = np.nonzero(fresh)
         seen[active[r], near[r, c]] = True
+        s = np.full(near.shape, -2, np.float32)
+        s[r, c] = np.einsum("nd,nd->n", self.units[near[r, c]], q[active[r]])
         r, c = np.nonzero(s >= least)
         hit[active[r], near[r, c]] = True
         return near, s
@@ -307,7 +323,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.transform(F.col(vec_col), lambda x: x.cast("double") + F.lit(0.0)).alias("vec"))
     sound = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     sound = F.coalesce(F.col("label").isNotNull() & F.col("id").isNotNull() & sound, F.lit(False))
-    marked = rows.select("id", F.when(sound, F.concat_ws("/", F.size("vec"), "label")).alias("bucket"), F.when(sound, F.col("vec")).alias("vec"))
+    marked = rows.select("id", F.when(sound, F.concat(F.size("vec"), F.lit("/"), "label", F.lit("/"))).alias("bucket"), F.when(sound, F.col("vec")).alias("vec"))
     # An id in several rows is one vector: the least of its vectors stands for it.
     merged = checkpoint(marked.filter("bucket is not null").groupBy("bucket", "vec").agg(F.min("id").alias("id"), F.count_distinct("id").alias("mult")))
     reps = merged.groupBy("id").agg(F.min(F.struct("bucket", "vec", "mult")).alias("s")).select("id", "s.*")
