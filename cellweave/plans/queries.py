@@ -28,6 +28,11 @@ def r9(*names: str) -> dict:
     return {n: F.round(n, 9) for n in names}
 
 
+def r6(*names: str) -> dict:
+    """For what is computed from rounded numbers, where halves of the ninth place occur."""
+    return {n: F.round(n, 6) for n in names}
+
+
 def mol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.molecules_of_events(spark, sf_dir)
 
@@ -78,9 +83,9 @@ def cell_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sources, filters, counts
 
 
-@query("molecules", f"WITH {MOL} SELECT transcript_id, feature_name, cell_id, round(x, 9) AS x, round(y, 9) AS y, z FROM mol")
+@query("molecules", f"WITH {MOL} SELECT transcript_id, feature_name, cell_id, x, y, z FROM mol")
 def _(spark, d):
-    return mol(spark, d).withColumns(r9("x", "y"))
+    return mol(spark, d)
 
 
 @query("quality_filter", f"WITH {MOL} SELECT transcript_id, feature_name FROM mol WHERE x >= 30 AND cell_id <> '-1'")
@@ -236,16 +241,16 @@ def _(spark, d):
     return scores.flag(scores.flag(s, "purity", "is_pure"), "conflict", "is_conflict").select("entity", "is_pure", "is_conflict")
 
 
-@query("coherence", (f"WITH {NPMI}, {CELLS}, {SUMS} SELECT e AS entity, round(coalesce(n_pos / nullif(n_seen, 0), 0) - coalesce(sum_neg / nullif(n_neg, 0), 0), 9) AS c, round(coalesce(rp / nullif(n_seen, 0), 0) - coalesce(rn / nullif(n_seen, 0), 0), 9) AS c_relu FROM s"))
+@query("coherence", (f"WITH {NPMI}, {CELLS}, {SUMS} SELECT e AS entity, round(coalesce(n_pos / nullif(n_seen, 0), 0) - coalesce(sum_neg / nullif(n_neg, 0), 0), 6) AS c, round(coalesce(rp / nullif(n_seen, 0), 0) - coalesce(rn / nullif(n_seen, 0), 0), 6) AS c_relu FROM s"))
 def _(spark, d):
     sums = cell_sums(spark, d)
-    plain, relu = scores.coherence(sums).select("entity", F.round("C", 9).alias("c")), scores.coherence_relu(sums).select("entity", F.round("C", 9).alias("c_relu"))
+    plain, relu = scores.coherence(sums).select("entity", F.round("C", 6).alias("c")), scores.coherence_relu(sums).select("entity", F.round("C", 6).alias("c_relu"))
     return plain.join(relu, "entity")
 
 
-@query("gene_set_stats", (f"WITH {NPMI}, {CELLS}, {SUMS} SELECT ent.e AS entity, k AS n_genes, round(sum(v), 9) AS sum, min(v) AS min, round(quantile_cont(v, 0.25), 9) AS p25, round(quantile_cont(v, 0.5), 9) AS p50, round(quantile_cont(v, 0.75), 9) AS p75, count(v) AS n_pairs FROM ent LEFT JOIN pv ON ent.e = pv.e GROUP BY ent.e, k"))
+@query("gene_set_stats", (f"WITH {NPMI}, {CELLS}, {SUMS} SELECT ent.e AS entity, k AS n_genes, round(sum(v), 6) AS sum, min(v) AS min, round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.75), 6) AS p75, count(v) AS n_pairs FROM ent LEFT JOIN pv ON ent.e = pv.e GROUP BY ent.e, k"))
 def _(spark, d):
-    return scores.pair_statistics(scores.cells(mol(spark, d), 10, exclude=("-1",)), upper(spark, d)).withColumns(r9("sum", "p25", "p50", "p75"))
+    return scores.pair_statistics(scores.cells(mol(spark, d), 10, exclude=("-1",)), upper(spark, d)).withColumns(r6("sum", "p25", "p50", "p75"))
 
 
 @query("quality_summary", (f"WITH {NPMI}, {CELLS}, {SUMS}, p AS (SELECT n_pos / nullif(kk, 0) AS purity, sum_neg / nullif(kk, 0) AS conflict FROM s) SELECT count(*) AS n_entities, round(avg(purity), 9) AS mean_purity, round(quantile_cont(purity, 0.8), 9) AS p80_purity, round(quantile_cont(purity, 0.95), 9) AS p95_purity, round(avg(conflict), 9) AS mean_conflict, round(quantile_cont(conflict, 0.8), 9) AS p80_conflict, round(quantile_cont(conflict, 0.95), 9) AS p95_conflict FROM p"))
@@ -300,11 +305,11 @@ def _(spark, d):
     f"""WITH RECURSIVE {LABELS}, st AS (SELECT cell_id AS cell, unnest(list_filter(['original', CASE WHEN s1 = 'core' THEN 'core_pass1' END, CASE WHEN s1 = 'partial_p1' THEN 'partial_pass1' END, CASE WHEN s2 = 'partial_p2' THEN 'partial_pass2' END, CASE WHEN s2 = 'unassigned_from_partial' THEN 'unassigned_from_partial' END], lambda q: q IS NOT NULL)) AS step, feature_name AS g FROM two_pass WHERE s1 <> 'unassigned_input'),
 n AS (SELECT cell, step, count(*) AS n_rows, count(DISTINCT g) AS n_genes FROM st GROUP BY ALL), dg AS (SELECT DISTINCT cell, step, g FROM st),
 v AS (SELECT a.cell, a.step, npmi AS v FROM dg a JOIN dg b ON a.cell = b.cell AND a.step = b.step AND a.g < b.g JOIN up ON gene_i = a.g AND gene_j = b.g)
-SELECT n.cell, n.step, n_rows, n_genes, round(sum(v), 9) AS sum, min(v) AS min, round(quantile_cont(v, 0.25), 9) AS p25, round(quantile_cont(v, 0.5), 9) AS p50, round(quantile_cont(v, 0.75), 9) AS p75, count(v) AS n_pairs FROM n LEFT JOIN v ON n.cell = v.cell AND n.step = v.step GROUP BY ALL""",
+SELECT n.cell, n.step, n_rows, n_genes, round(sum(v), 6) AS sum, min(v) AS min, round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.75), 6) AS p75, count(v) AS n_pairs FROM n LEFT JOIN v ON n.cell = v.cell AND n.step = v.step GROUP BY ALL""",
 )
 def _(spark, d):
     w = upper(spark, d)
-    return report.diagnostics(prune.prune_molecules(mol(spark, d), w), w).withColumns(r9("sum", "p25", "p50", "p75"))
+    return report.diagnostics(prune.prune_molecules(mol(spark, d), w), w).withColumns(r6("sum", "p25", "p50", "p75"))
 
 
 # Graphs
@@ -560,14 +565,14 @@ def _(spark, d):
 
 @query("pipeline_6stage")
 def _(spark, d):
-    s = pipeline.Settings(component_size=5, component_radius=10.0, component_prune=-0.1, stitch_radius=5.0, split_radius=6.0, reassign_radius=10.0)
+    s = pipeline.Settings(component_size=5, component_radius=10.0, component_prune=-0.1, stitch_radius=5.0, split_radius=6.0, split_isolated=False, reassign_radius=10.0)
     return pipeline.refine_labels(mol(spark, d), checkpoint(upper(spark, d)), s).select("transcript_id", *pipeline.STAGES)
 
 
 @query("pipeline_invariants", f"WITH {MOL} SELECT count(*) AS n, 0 AS relabelled_drops FROM mol")
 def _(spark, d):
     """Every molecule is still there, and stitching relabels no dropped one."""
-    s = pipeline.Settings(component_size=5, component_radius=10.0, component_prune=-0.1, stitch_radius=5.0, split_radius=6.0, reassign_radius=None)
+    s = pipeline.Settings(component_size=5, component_radius=10.0, component_prune=-0.1, stitch_radius=5.0, split_radius=6.0, split_isolated=False, reassign_radius=None)
     out = pipeline.refine_labels(mol(spark, d), checkpoint(upper(spark, d)), s)
     return out.agg(F.count_distinct("transcript_id").alias("n"), F.count_if((F.col("cell_id_final") == "DROP") & (F.col("cell_id_finetuned") != "DROP")).cast("int").alias("relabelled_drops"))
 
