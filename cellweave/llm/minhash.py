@@ -326,7 +326,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.unionByName(more)
         comps = connected_components(links, "a", "b")
 
-    sets = found.join(merged, "digest", "left").select("id", "n", "rep")
+    sets = found.join(merged, "digest", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep"))
     # An id in several rows is one node: its sets' representatives and itself belong together.
     shared = sets.filter("rep is not null").groupBy("id").agg(F.min("rep").alias("r0"), F.max("rep").alias("r1")).filter("r0 <> r1")
     if not shared.isEmpty():

@@ -212,9 +212,10 @@ def pack_lengths(lengths: np.ndarray, limit: int = LIMIT) -> list[list[int]]:
 
 def _packer(limit: int, base: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard = pd.concat(list(batches), ignore_index=True)
-        if not len(shard):
+        parts = [b for b in batches if len(b)]
+        if not parts:
             return
+        shard = pd.concat(parts, ignore_index=True)
         shard = shard.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
         lengths = shard["length"].to_numpy()
         bins = pack_lengths(lengths, limit)

@@ -230,5 +230,6 @@ def written(spans: Column) -> Column:
 
 def query(docs: DataFrame) -> DataFrame:
     rows = find(docs)
-    n = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
+    kinds = F.transform("base", lambda s: s["kind"])
+    n = [F.size(F.filter(kinds, lambda k: k == F.lit(i))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(KINDS)]  # noqa: B023
     return rows.select("doc_id", *n, F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
