@@ -9,9 +9,11 @@ Pairs are never all emitted. Equal sets are merged first. In a first round every
 of a bucket offers its best few neighbours only; confirmed links are joined into
 components. In a second round pairs within a component need no test; all others that
 pass the estimate are tested on full sets inside their bucket, which emits only the
-links that join components. Buckets over CELL rows or CELL_SHINGLES are dealt out to
-cells of at most two slices, so that a hot bucket is spread over many tasks with
-bounded memory and no pair is left out.
+links that join components. A hot bucket is one task's work in neither round: the
+first salts buckets over SLICE rows by id, each salt holding the bucket's leader too,
+so that what is near the leader is joined across salts; the second deals buckets over
+CELL rows or CELL_SHINGLES out to cells of at most two slices, with bounded memory and
+no pair left out.
 
 Defined cases: a null or wordless text has n_shingles 0 and links with nothing; a row
 whose id is null links with nothing, has a null component and is kept; rows that share
@@ -38,6 +40,8 @@ BANDS = K // ROWS
 DEVIATIONS = 4.0
 #: Neighbours in a sorted bucket that the first round looks at.
 REACH = 16
+#: Rows of a bucket that one salt of the first round takes.
+SLICE = 512
 #: Rows of a bucket that one cell of the second round takes from a slice.
 CELL = 4096
 #: Shingles of a bucket that one cell takes from a slice.
@@ -301,10 +305,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = cut(percent / 100)
     features = lone.select("id", "sig", "bands")
     narrow = lone.select("id", "n", F.posexplode("bands").alias("band", "key"))
-    busy = narrow.groupBy("key").count().filter("count > 1").select("key")
-    multi = checkpoint(narrow.join(busy, "key", "left_semi"))  # buckets of one row are most, and go here
-    banded = multi.join(features, "id").select("key", "id", "n", "sig")
-    first = banded.repartition("key").sortWithinPartitions("key", "n", "id").mapInArrow(_near(least, percent), "a long, b long")
+    busy = narrow.groupBy("key").agg(F.count("*").alias("rows"), F.min("id").alias("head")).filter("rows > 1")
+    busy = busy.select("key", "head", F.ceil(F.col("rows") / SLICE).cast("int").alias("salts"))
+    multi = narrow.join(busy, "key").withColumn("leads", (F.col("salts") > 1) & (F.col("id") == F.col("head"))).drop("head")
+    multi = checkpoint(multi)  # buckets of one row are most, and have gone here
+    salt = F.when(F.col("leads"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")))
+    salted = multi.withColumn("salt", F.explode(salt)).withColumn("run", F.when(F.col("salts") > 1, F.xxhash64("key", "salt")).otherwise(F.col("key")))
+    banded = salted.join(features, "id").select("run", "id", "n", "sig", "leads")
+    first = banded.repartition("run").sortWithinPartitions("run", F.desc("leads"), "n", "id").select("run", "id", "n", "sig").mapInArrow(_near(least, percent), "a long, b long")
     tested = checkpoint(first.distinct())
     links = checkpoint(_confirmed(tested, texts, percent))
     comps = connected_components(links, "a", "b")

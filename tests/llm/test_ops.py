@@ -111,6 +111,16 @@ def test_near_dedup_in_cells(spark, monkeypatch):
     assert got == near_brute(rows)
 
 
+def test_near_dedup_in_salts(spark, monkeypatch):
+    """A hot bucket's salts are joined through its leader, also where rows share the leader's id."""
+    monkeypatch.setattr(minhash, "SLICE", 3)
+    rows = varied(5, 80) + [(1000 + k, f"{k} " + " ".join(f"w{i}" for i in range(60))) for k in range(40)]
+    rows += [(rows[0][0], "another text under the same id as the first row has")]
+    got = sorted((tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == near_brute(rows)
+    assert len({r[2] for r in got if r[0] and r[0] >= 1000}) == 1
+
+
 def test_shingles_of_blocks_and_long_words():
     import pyarrow as pa
 
