@@ -412,6 +412,11 @@ def _(spark, d):
     return stitch.entity_table(mol(spark, d), "cell_id").withColumn("genes", F.array_join("genes", ",")).withColumns(r9("x", "y", "z"))
 
 
+def _suppliers(spark, d):
+    s = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("id"))
+    return s.withColumns({"x": (F.col("id") * 7919 % 1009).cast("double"), "y": ((F.col("id") * F.col("id") * 31 + F.col("id") * 17) % 1013).cast("double")})
+
+
 @query(
     "delaunay_2d",
     """WITH p AS (SELECT CAST(s_suppkey AS BIGINT) AS id, CAST((s_suppkey * 7919) % 1009 AS DOUBLE) AS x, CAST((s_suppkey * s_suppkey * 31 + s_suppkey * 17) % 1013 AS DOUBLE) AS y FROM supplier WHERE s_suppkey <= 60),
@@ -422,9 +427,13 @@ r AS (SELECT *, (ux - cx) * (ux - cx) + (uy - cy) * (uy - cy) AS rr FROM u), k A
 e AS (SELECT a AS src, b AS dst FROM k UNION SELECT b, c FROM k UNION SELECT a, c FROM k) SELECT src, dst, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 9) AS length FROM e JOIN p a ON a.id = src JOIN p b ON b.id = dst""",
 )
 def _(spark, d):
-    s = spark.read.parquet(f"{d}/supplier.parquet").filter("s_suppkey <= 60").select(F.col("s_suppkey").cast("long").alias("id"))
-    p = s.withColumns({"x": (F.col("id") * 7919 % 1009).cast("double"), "y": ((F.col("id") * F.col("id") * 31 + F.col("id") * 17) % 1013).cast("double")})
-    return geometry.delaunay_edges(p, "id", ("x", "y")).withColumns(r9("length"))
+    # The SQL tests every triple of points, so this one is held against it on the first 60 ids; delaunay_2d_all takes all.
+    return geometry.delaunay_edges(_suppliers(spark, d).filter("id <= 60"), "id", ("x", "y")).withColumns(r9("length"))
+
+
+@query("delaunay_2d_all")
+def _(spark, d):
+    return geometry.delaunay_edges(_suppliers(spark, d), "id", ("x", "y")).withColumns(r9("length"))
 
 
 @query("delaunay_3d")

@@ -113,6 +113,27 @@ def test_delaunay_matches_empty_spheres(d, n):
         assert set(geometry.delaunay(p)) == want
 
 
+def test_delaunay_in_the_plane_takes_every_point(spark):
+    from cellweave.plans.queries import QUERIES
+
+    p = np.random.default_rng(7).random((14, 2))
+    df = spark.createDataFrame([(10 + i, float(x), float(y)) for i, (x, y) in enumerate(p)], "id long, x double, y double")
+    want = {}
+    for s in itertools.combinations(range(len(p)), 3):
+        a, b, c = p[list(s)]
+        o = c + np.linalg.solve(2 * np.array([a - c, b - c]), [((a - c) ** 2).sum(), ((b - c) ** 2).sum()])
+        if all(((p[k] - o) ** 2).sum() >= ((a - o) ** 2).sum() for k in range(len(p)) if k not in s):
+            want |= {(10 + i, 10 + j): float(np.hypot(*(p[i] - p[j]))) for i, j in itertools.combinations(s, 2)}
+    got = {(r["src"], r["dst"]): r["length"] for r in geometry.delaunay_edges(df, "id", ("x", "y")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[e] - want[e]) < 1e-9 for e in want)
+
+    sf = "/root/testdata/sf0.01"
+    ids = {r[0] for r in spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey").collect()}
+    edges = [(r["src"], r["dst"]) for r in QUERIES["delaunay_2d_all"](spark, sf).collect()]
+    assert max(ids) > 60 and {i for e in edges for i in e} == ids
+    assert 2 * len(ids) - 3 <= len(edges) <= 3 * len(ids) - 6
+
+
 def test_delaunay_of_degenerate_points(spark):
     assert geometry.delaunay(np.array([[0.0, 0], [2, 2], [1, 1], [1, 1]])) == [(0, 2), (1, 2), (2, 3)]
     flat = np.array([[0.0, 0, 0], [1, 0, 0], [0, 1, 0], [3, 3, 0]])
