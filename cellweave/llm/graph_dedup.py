@@ -6,7 +6,12 @@ adjacency list, and the lists of a vector's shards are united. Every vector is t
 searched for, greedily from its shard's medoid over the united lists; whatever lies in
 range is expanded in turn, so that the search grows over the whole range. Hits are
 verified by cosine in double precision. A sample of queries is compared with all
-vectors, and the search is repeated with a wider beam while recall falls short.
+vectors, and the search is repeated with a wider beam while recall falls short. Where
+that doesn't help, all vectors of a label are compared, block by block.
+
+A dense group stays in one shard. One that is too large for a task takes no part in
+the search: its vectors are compared with each other and with whatever else of their
+label lies near enough, block by block, and only counts and a spanning set leave a task.
 
 Equal vectors are merged first and counted with multiplicity. Links within a shard are
 counted where they are found; only a spanning set of them, and links across shards,
@@ -35,15 +40,15 @@ from cellweave.util import checkpoint
 THRESHOLD = 0.98
 #: Vectors of a shard at most; centres of one split; a second shard within MARGIN of the best one's cosine.
 SHARD, CENTRES, MARGIN, LEVELS = 2048, 64, 0.12, 8
-#: Centres as near to each other as this are one, so that a dense group stays together; a shard with one centre isn't split further up to DENSE vectors.
-CLOSE, DENSE, WHOLE = 0.9, 1 << 15, "!"
+#: Centres as near to each other as this are one, so that a dense group stays together; a shard with one centre isn't split further. One task holds DENSE vectors of a group, and in a bucket of more, near centres are one only where a share LINKED of their pairs link.
+CLOSE, DENSE, WHOLE, LINKED = 0.9, 1 << 15, "!", 1 / 16
 #: Rows that one task deals to centres.
 SLICE = 20000
 #: Candidates, far candidates, kept neighbours, and the slack of robust pruning.
 NEAR, FAR, DEGREE, ALPHA = 48, 16, 24, 1.2
 BEAM = 32
-#: Queries of the audit, the recall it asks for, and how often the beam is doubled for it.
-AUDIT, RECALL, WIDENINGS = 64, 0.97, 2
+#: Queries of the audit, the recall it asks for, how often the beam is doubled for it, and the recall below which there is no result.
+AUDIT, RECALL, WIDENINGS, REFUSED = 64, 0.97, 2, 0.9
 BLOCK = 256
 
 
@@ -56,59 +61,71 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1))[:, None]
 
 
-def _apart(units: np.ndarray) -> np.ndarray:
-    """The centres that aren't within CLOSE of one before them."""
+def _apart(units: np.ndarray, linked: float | None = None) -> np.ndarray:
+    """The centres that aren't within CLOSE of one before them; where linked is given, also those near one whose group has less than a share LINKED of pairs that reach it."""
     keep: list[int] = []
+    of = np.arange(len(units))
     for i, u in enumerate(units):
-        if not keep or (units[keep] @ u).max() < CLOSE:
+        near = units[keep] @ u
+        if len(near) and near.max() >= CLOSE:
+            of[i] = keep[int(near.argmax())]
+        else:
             keep.append(i)
-    return units[keep]
-
-
-def _dealer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Deals vectors to the centres that precede them in a partition sorted by (bucket, slice, is_vector)."""
-    bucket, centres, units, end, merge = None, [], None, "", False
-    for batch in batches:
-        names = np.asarray(batch.column(0).cast(pa.string()).to_pylist(), object)
-        part = np.asarray(batch.column(1))
-        new = np.flatnonzero(np.concatenate(([True], (names[1:] != names[:-1]) | (part[1:] != part[:-1]))))
-        vector = np.asarray(batch.column(2)) == 1
-        for x, y in zip(new, [*new[1:], len(names)], strict=True):
-            if bucket != (names[x], part[x]):
-                bucket, centres, units, end = (names[x], part[x]), [], None, ""
-            seeds = np.flatnonzero(~vector[x:y]) + x
-            if len(seeds):
-                centres.append(_matrix(batch.column(4).take(pa.array(seeds))))
-                merge = batch.column(6)[int(seeds[0])].as_py() == 1
-            rows = np.flatnonzero(vector[x:y]) + x
-            if not len(rows):
-                continue
-            if units is None:
-                units = _unit(np.concatenate(centres))
-                units = _apart(units) if merge else units
-                end = WHOLE if len(units) == 1 else ""
-            index = pa.array(rows)
-            near = _unit(_matrix(batch.column(4).take(index))) @ units.T
-            order = np.argsort(-near, axis=1, kind="stable")[:, :2]
-            first = order[:, 0]
-            out, at, main = [first], [np.arange(len(rows))], [np.asarray(batch.column(5).take(index))]
-            if near.shape[1] > 1:
-                i = np.arange(len(rows))
-                close = np.flatnonzero(near[i, order[:, 1]] >= near[i, first] - MARGIN)
-                out, at, main = [*out, order[close, 1]], [*at, close], [*main, np.zeros(len(close), bool)]
-            out, at, main = np.concatenate(out), np.concatenate(at), np.concatenate(main)
-            take = pa.array(rows[at])
-            yield pa.RecordBatch.from_arrays([pa.array([f"{names[x]}.{c}{end}" for c in out]), batch.column(3).take(take), batch.column(4).take(take), pa.array(main), batch.column(6).take(take)], ["bucket", "id", "vec", "main", "mult"])
-
-
-def shards(reps: DataFrame, limit: int = SHARD) -> DataFrame:
-    """bucket, id, vec, main, mult: each vector in its main shard and perhaps others. Only buckets over limit are split."""
+    if linked is not None:
+        for c in list(keep):
+            own = np.flatnonzero(of == c)
+            x, y = np.triu_indices(len(own), 1)
+            if len(x) and ((units[own] @ units[own].T)[x, y] >= linked).mean() < LINKED:
+                keep += own[1:].tolist()
+    return units[sorted(keep)]
+
+
+def _dealer(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Deals vectors to the centres that precede them in a partition sorted by (bucket, slice, is_vector)."""
+        bucket, centres, units, end, small = None, [], None, "", False
+        for batch in batches:
+            names = np.asarray(batch.column(0).cast(pa.string()).to_pylist(), object)
+            part = np.asarray(batch.column(1))
+            new = np.flatnonzero(np.concatenate(([True], (names[1:] != names[:-1]) | (part[1:] != part[:-1]))))
+            vector = np.asarray(batch.column(2)) == 1
+            for x, y in zip(new, [*new[1:], len(names)], strict=True):
+                if bucket != (names[x], part[x]):
+                    bucket, centres, units, end = (names[x], part[x]), [], None, ""
+                seeds = np.flatnonzero(~vector[x:y]) + x
+                if len(seeds):
+                    centres.append(_matrix(batch.column(4).take(pa.array(seeds))))
+                    small = batch.column(6)[int(seeds[0])].as_py() == 1
+                rows = np.flatnonzero(vector[x:y]) + x
+                if not len(rows):
+                    continue
+                if units is None:
+                    units = _apart(_unit(np.concatenate(centres)), None if small else threshold)
+                    end = WHOLE if len(units) == 1 else ""
+                index = pa.array(rows)
+                near = _unit(_matrix(batch.column(4).take(index))) @ units.T
+                order = np.argsort(-near, axis=1, kind="stable")[:, :2]
+                first = order[:, 0]
+                out, at, main = [first], [np.arange(len(rows))], [np.asarray(batch.column(5).take(index))]
+                if near.shape[1] > 1:
+                    i = np.arange(len(rows))
+                    close = np.flatnonzero(near[i, order[:, 1]] >= near[i, first] - MARGIN)
+                    out, at, main = [*out, order[close, 1]], [*at, close], [*main, np.zeros(len(close), bool)]
+                out, at, main = np.concatenate(out), np.concatenate(at), np.concatenate(main)
+                take = pa.array(rows[at])
+                yield pa.RecordBatch.from_arrays([pa.array([f"{names[x]}.{c}{end}" for c in out]), batch.column(3).take(take), batch.column(4).take(take), pa.array(main), batch.column(6).take(take)], ["bucket", "id", "vec", "main", "mult"])
+
+    return run
+
+
+def shards(reps: DataFrame, limit: int = SHARD, threshold: float = THRESHOLD) -> DataFrame:
+    """bucket, id, vec, main, mult: each vector in its main shard and perhaps others. Only buckets over limit are split, and no dense group is."""
     cols = ["bucket", "id", "vec", "main", "mult"]
     members = reps.withColumn("main", F.lit(True)).select(cols)
     done = None
     for _ in range(LEVELS):
         size = members.groupBy("bucket").agg(F.count("*").alias("n"))
-        big = checkpoint(size.filter((F.col("n") > limit) & ~(F.col("bucket").endswith(WHOLE) & (F.col("n") <= DENSE))))
+        big = checkpoint(size.filter((F.col("n") > limit) & ~F.col("bucket").endswith(WHOLE)))
         if big.isEmpty():
             break
         small = members.join(big, "bucket", "left_anti")
@@ -120,9 +137,9 @@ def shards(reps: DataFrame, limit: int = SHARD) -> DataFrame:
         seeds = some.withColumn("r", F.row_number().over(W.partitionBy("bucket").orderBy("place", "id"))).filter(F.col("r") <= F.col("k"))
         seeds = seeds.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
         own = [F.col(c) for c in ("bucket", "part", "is_vector", "id", "vec", "main", "mult")]
-        seeds = seeds.withColumn("mult", (F.col("n") <= DENSE).cast("long"))  # whether near centres are merged
+        seeds = seeds.withColumn("mult", (F.col("n") <= DENSE).cast("long"))  # whether all near centres are merged
         both = seeds.withColumn("is_vector", F.lit(0)).select(own).unionByName(large.withColumn("part", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")).withColumn("is_vector", F.lit(1)).select(own))
-        dealt = both.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "is_vector", "id").mapInArrow(_dealer, "bucket string, id long, vec array<double>, main boolean, mult long")
+        dealt = both.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "is_vector", "id").mapInArrow(_dealer(threshold), "bucket string, id long, vec array<double>, main boolean, mult long")
         # A vector may come to a shard from two others of the level above.
         members = checkpoint(dealt.groupBy("bucket", "id").agg(F.first("vec").alias("vec"), F.max("main").alias("main"), F.first("mult").alias("mult")))
     return members if done is None else done.unionByName(members)
@@ -290,6 +307,78 @@ def _searched(members: DataFrame, united: DataFrame, threshold: float, beam: int
     return inside.unionByName(rim).groupBy("bucket").applyInPandas(lambda g: _searcher(threshold, beam)(g), "a long, b long, n long")
 
 
+def _ball(group: pd.DataFrame) -> pd.DataFrame:
+    """The mean direction of a block and the largest angle to it."""
+    units = _unit(np.stack(group["vec"].to_numpy()))
+    mean = units.mean(axis=0)
+    centre = mean / np.sqrt(mean @ mean) if mean.any() else units[0]
+    radius = float(np.arccos(np.clip(units @ centre, -1, 1)).max())
+    return pd.DataFrame({"label": group["label"].iloc[:1], "host": group["block"].iloc[:1], "centre": [centre.tolist()], "radius": [radius]})
+
+
+def _comparer(threshold: float):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        """Rows (a, b, n) as the searcher gives them, of the links of a block's vectors with its guests and, in its first slice, with each other."""
+        group = group.sort_values(["home", "id"], ascending=[False, True], ignore_index=True)
+        ids, mult = group["id"].to_numpy(), group["mult"].to_numpy()
+        exact = _unit(np.stack(group["vec"].to_numpy()))
+        units = exact.astype(np.float32)
+        home, first = int(group["home"].sum()), group["slice"].iloc[0] == 0
+        low = 0 if first else home
+        links, comp, join = np.zeros(len(ids), np.int64), np.arange(len(ids)), []
+        for a in range(0, home, BLOCK):
+            b = min(home, a + BLOCK)
+            sims = units[a:b] @ units[low:].T
+            hits = sims >= threshold
+            r, c = np.nonzero(np.abs(sims - threshold) < 1e-4)
+            for k in range(0, len(r), 1 << 16):
+                p, q = r[k : k + (1 << 16)], c[k : k + (1 << 16)]
+                hits[p, q] = np.einsum("nd,nd->n", exact[a + p], exact[low + q]) >= threshold
+            if first:
+                hits[np.arange(b - a), np.arange(a, b)] = False
+            links[a:b] += hits @ mult[low:]
+            links[home:] += mult[a:b] @ hits[:, home - low :]
+            for i in range(b - a):
+                y = np.flatnonzero(hits[i]) + low
+                other = comp[y]
+                if (other == comp[a + i]).all():
+                    continue
+                parts, at = np.unique(other, return_index=True)
+                join += [(a + i, j) for j, part in zip(y[at], parts, strict=True) if part != comp[a + i]]
+                comp[np.isin(comp, parts)] = comp[a + i]
+        join = np.array(join, np.int64).reshape(-1, 2)
+        counted = np.flatnonzero(links > 0)
+        x, y = ids[np.concatenate([counted, join[:, 0]])], ids[np.concatenate([counted, join[:, 1]])]
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "n": np.concatenate([links[counted], np.zeros(len(join), np.int64)])})
+
+    return run
+
+
+def _compared(rows: DataFrame, threshold: float) -> DataFrame:
+    """a, b, n as the searcher gives them, of all links of the rows that have a block. rows: label, block, id, vec, mult.
+
+    A block's guests are the rows without a block and those of later blocks that lie
+    within its ball and the threshold's angle; none that could link is left out.
+    """
+    kind = "a long, b long, n long"
+    hosts = checkpoint(rows.filter("block is not null").groupBy("label", "block").applyInPandas(_ball, "label string, host string, centre array<double>, radius double"))
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+    cosine = F.aggregate(F.zip_with("vec", "centre", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / norm
+    slack = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
+    near = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))) <= F.col("radius") + slack
+    guests = rows.join(hosts, "label").filter(F.col("block").isNull() | (F.col("block") > F.col("host"))).filter(near).select("host", "id", "vec", "mult")
+    slices = checkpoint(guests.groupBy("host").agg(F.ceil(F.count("*") / DENSE).cast("int").alias("slices")))
+    own = rows.filter("block is not null").withColumnRenamed("block", "host").join(slices, "host", "left")
+    own = own.withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1))).select("host", "slice", "id", "vec", "mult", F.lit(True).alias("home"))
+    guests = guests.join(slices, "host").select("host", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"), "id", "vec", "mult", F.lit(False).alias("home"))
+    return own.unionByName(guests).groupBy("host", "slice").applyInPandas(_comparer(threshold), kind)
+
+
+def _blocks(name: str, n: str):
+    """The block of a row of a group of n vectors: at most about DENSE of them."""
+    return F.concat(F.col(name), F.lit("#"), F.pmod(F.xxhash64("id"), F.ceil(F.col(n) / DENSE)).cast("string"))
+
+
 def audit(reps: DataFrame, counts: DataFrame, threshold: float = THRESHOLD, queries: int = AUDIT) -> float:
     """The share of true links that were found, over a bounded sample of queries held against all vectors, block by block.
 
@@ -328,11 +417,24 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     merged = checkpoint(marked.filter("bucket is not null").groupBy("bucket", "vec").agg(F.min("id").alias("id"), F.count_distinct("id").alias("mult")))
     reps = merged.groupBy("id").agg(F.min(F.struct("bucket", "vec", "mult")).alias("s")).select("id", "s.*")
     reps = checkpoint(reps)
-    members = checkpoint(shards(reps.select("bucket", "id", "vec", "mult"), limit))
+    members = checkpoint(shards(reps.select("bucket", "id", "vec", "mult"), limit, threshold))
+    huge = checkpoint(members.groupBy("bucket").agg(F.count("*").alias("size")).filter(F.col("bucket").endswith(WHOLE) & (F.col("size") > DENSE)))
+    dense = None
+    if not huge.isEmpty():
+        hosts = checkpoint(members.filter("main").join(huge, "bucket").select("id", _blocks("bucket", "size").alias("block")))
+        rows = reps.join(hosts, "id", "left").select(F.col("bucket").alias("label"), "block", "id", "vec", "mult")
+        dense = checkpoint(_compared(rows, threshold))
+        members = checkpoint(members.join(huge, "bucket", "left_anti").join(hosts, "id", "left_anti").select(members.columns))
     edges = members.groupBy("bucket").applyInPandas(_build, "src long, dst long")
     united = checkpoint(edges.groupBy("src").agg(F.collect_set("dst").alias("near")))
-    for turn in range(WIDENINGS + 1):
-        found = checkpoint(_searched(members, united, threshold, beam << turn))
+    for turn in range(WIDENINGS + 2):
+        if turn <= WIDENINGS:
+            found = checkpoint(_searched(members, united, threshold, beam << turn))
+            found = found if dense is None else found.unionByName(dense)
+        else:
+            sizes = reps.groupBy("bucket").agg(F.count("*").alias("size"))
+            rows = reps.join(sizes, "bucket").select(F.col("bucket").alias("label"), _blocks("bucket", "size").alias("block"), "id", "vec", "mult")
+            found = checkpoint(_compared(rows, threshold))
         across = found.filter("n = -1").select("a", "b").distinct()
         weight = reps.select(F.col("id").alias("w"), "mult")
         sides = across.unionByName(across.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -341,6 +443,8 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "em
         recall = audit(reps, counts, threshold)
         if recall >= RECALL:
             break
+    if recall < REFUSED:
+        raise RuntimeError(f"the audit found {recall:.3f} of the links, less than {REFUSED}")
     comps = connected_components(found.filter("n <= 0"), "a", "b")
     stand = merged.select("bucket", "vec", F.col("id").alias("rep"), "mult")
     out = marked.join(stand, ["bucket", "vec"], "left")

@@ -258,6 +258,52 @@ def test_embedding_links(spark, limit):
     assert graph_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def dense_rows(n=900, seed=5):
+    """A dense group in which all pairs link, a looser one beside it, and some lone vectors."""
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(size=(2, 64))
+    centre[1] = centre[0] + 0.25 * centre[1]
+    group = [centre[0] + 0.06 * rng.normal(size=64) for _ in range(n)] + [centre[1] + 0.15 * rng.normal(size=64) for _ in range(n // 6)] + list(rng.normal(size=(n // 6, 64)))
+    return [(i, v.astype(np.float32).tolist(), 0) for i, v in enumerate(group)]
+
+
+def counted(rows):
+    """links_brute's results, from one matrix."""
+    u = np.array([v for _, v, _ in rows], float)
+    u /= np.sqrt((u * u).sum(axis=1))[:, None]
+    near = u @ u.T >= 0.98
+    comp = np.arange(len(rows))
+    while True:
+        least = np.where(near, comp, len(rows)).min(axis=1)
+        if (least == comp).all():
+            return {i: (int(near[i].sum()) - 1, int(comp[i]), bool(comp[i] == i)) for i in range(len(rows))}
+        comp = least
+
+
+def test_links_of_a_dense_group_that_no_task_holds(spark, monkeypatch):
+    monkeypatch.setattr(graph_dedup, "DENSE", 128)
+    rows = dense_rows()
+    found = {r[0]: tuple(r)[1:4] for r in graph_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), limit=32).collect()}
+    want = counted(rows)
+    assert {i: found[i] for i in range(900)} == {i: want[i] for i in range(900)}
+    assert sum(x[0] for x in found.values()) >= 0.97 * sum(x[0] for x in want.values())
+
+
+def test_links_are_complete_where_the_search_falls_short(spark, monkeypatch):
+    monkeypatch.setattr(graph_dedup, "DENSE", 128)
+    monkeypatch.setattr(graph_dedup, "_build", lambda g: g[["id"]].rename(columns={"id": "src"}).assign(dst=g["id"]))
+    rows = dense_rows(300)[100:]
+    rows = [(i, v, 0) for i, (_, v, _) in enumerate(rows)]
+    out = graph_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), limit=32).collect()
+    assert {r[0]: tuple(r)[1:4] for r in out} == counted(rows) and {r["audited_recall"] for r in out} == {1.0}
+
+
+def test_too_low_a_recall_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(graph_dedup, "audit", lambda *a: 0.5)
+    with pytest.raises(RuntimeError):
+        graph_dedup.near_duplicates(spark.createDataFrame(dense_rows(60), "vec_id long, embedding array<float>, label int"))
+
+
 # Personal data
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
