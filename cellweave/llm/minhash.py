@@ -1,7 +1,7 @@
 """Near-duplicates by b-bit MinHash.
 
-Each text's set of word shingles gets K minima. Bands of ROWS minima give the
-candidate buckets; the low B bits of the minima are packed into a signature, and the
+Each text's set of word shingles gets K minima, in bands that give the
+candidate buckets (more and shorter ones for thresholds under 85 %); the low B bits of the minima are packed into a signature, and the
 similarity of a candidate pair is estimated from the count of equal B-bit groups,
 corrected for chance agreement. What passes the estimate is confirmed on full sets.
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ from cellweave.util import checkpoint
 
 K, B, ROWS = 144, 4, 6
 BANDS = K // ROWS
+#: Minima and rows of a band below LOWER percent: at 80, 32 bands of 5 miss 3e-6 of the pairs, where 24 of 6 would miss 7e-4.
+LOWER, LOWER_K, LOWER_ROWS = 85, 160, 5
 #: Of the estimate, as K minima of B bits give it near the threshold; pairs are dropped this many below it.
 DEVIATIONS = 4.0
 #: Neighbours in a sorted bucket that the first round looks at.
@@ -47,15 +50,23 @@ CELL = 4096
 #: Shingles of a bucket that one cell takes from a slice.
 CELL_SHINGLES = 1 << 21
 
-_A = (coefficients(K, 3) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_C = (coefficients(K, 4) >> np.uint64(32)).astype(np.uint32)
-_BAND = coefficients(ROWS, 5)
 
+def shape(percent: int) -> tuple[int, int]:
+    """Minima, and rows of a band, for a threshold."""
+    return (K, ROWS) if percent >= LOWER else (LOWER_K, LOWER_ROWS)
 
-def signature(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed low bits (K * B / 8 bytes a row) and band keys of nonempty sets."""
+
+@cache
+def _coefficients(k: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    a = (coefficients(k, 3) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    return a, (coefficients(k, 4) >> np.uint64(32)).astype(np.uint32), coefficients(rows, 5)
+
+
+def signature(sets: list[np.ndarray], count: int = K, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Packed low bits (count * B / 8 bytes a row) and band keys of nonempty sets."""
+    mul, add, band = _coefficients(count, rows)
     sizes = np.array([len(s) for s in sets])
-    minima = np.empty((len(sets), K), np.uint32)
+    minima = np.empty((len(sets), count), np.uint32)
     i = 0
     while i < len(sets):  # a few sets at a time, so that the work stays in the cache
         j, n = i + 1, sizes[i]
@@ -64,13 +75,13 @@ def signature(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
             j += 1
         x = np.concatenate([(s >> np.uint64(32)).astype(np.uint32) for s in sets[i:j]])
         at = np.concatenate(([0], np.cumsum(sizes[i:j])[:-1]))
-        for k in range(K):
-            minima[i:j, k] = np.minimum.reduceat(x * _A[k] + _C[k], at)
+        for k in range(count):
+            minima[i:j, k] = np.minimum.reduceat(x * mul[k] + add[k], at)
         i = j
     low = (minima & np.uint32((1 << B) - 1)).astype(np.uint8)
     packed = low[:, ::2] | (low[:, 1::2] << np.uint8(B))
-    wide = minima.reshape(len(sets), BANDS, ROWS).astype(np.uint64)
-    keys = mix((wide * _BAND).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    wide = minima.reshape(len(sets), count // rows, rows).astype(np.uint64)
+    keys = mix((wide * band).sum(axis=2, dtype=np.uint64) + np.arange(count // rows, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return np.ascontiguousarray(packed), keys.view(np.int64)
 
 
@@ -80,32 +91,35 @@ def estimated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x |= x >> np.uint64(2)
     x |= x >> np.uint64(1)
     other = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=-1, dtype=np.int64)
-    chance = 2.0**-B
-    return ((K - other) / K - chance) / (1 - chance)
+    chance, k = 2.0**-B, a.shape[-1] * 64 // B
+    return ((k - other) / k - chance) / (1 - chance)
 
 
-def cut(similarity: float) -> float:
+def cut(similarity: float, k: int = K) -> float:
     chance = 2.0**-B
     c = chance + (1 - chance) * similarity
-    return similarity - DEVIATIONS * (c * (1 - c) / K) ** 0.5 / (1 - chance)
+    return similarity - DEVIATIONS * (c * (1 - c) / k) ** 0.5 / (1 - chance)
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            n, digests, sets, rows = np.zeros(part.num_rows, np.int64), [None] * part.num_rows, [], []
-            for k, s in enumerate(shingle_sets(part.column(1))):
-                if len(s):
-                    n[k], digests[k] = len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                    sets.append(s)
-                    rows.append(k)
-            sig, keys = [None] * part.num_rows, [None] * part.num_rows
-            if sets:
-                packed, bands = signature(sets)
-                for r, p, q in zip(rows, packed, bands, strict=True):
-                    sig[r], keys[r] = p.tobytes(), q
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(digests, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "digest", "sig", "bands"])
+def _features(count: int, width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                n, digests, sets, rows = np.zeros(part.num_rows, np.int64), [None] * part.num_rows, [], []
+                for k, s in enumerate(shingle_sets(part.column(1))):
+                    if len(s):
+                        n[k], digests[k] = len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                        sets.append(s)
+                        rows.append(k)
+                sig, keys = [None] * part.num_rows, [None] * part.num_rows
+                if sets:
+                    packed, bands = signature(sets, count, width)
+                    for r, p, q in zip(rows, packed, bands, strict=True):
+                        sig[r], keys[r] = p.tobytes(), q
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(digests, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "digest", "sig", "bands"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +153,7 @@ def _runs_of(batches: Iterator[pa.RecordBatch], width: int):
 def _words(column) -> np.ndarray:
     """Fixed-width binary values as rows of uint64."""
     joined = b"".join(column.to_pylist())
-    return np.frombuffer(joined, np.uint64).reshape(-1, K * B // 64)
+    return np.frombuffer(joined, np.uint64).reshape(len(column), -1)
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -207,7 +221,7 @@ class _Cell:
         self.band, self.across = int(t.column("band")[0].as_py()), t.column("lo")[0] != t.column("hi")[0]
         self.sig = _words(t.column("sig"))
         bands = t.column("bands").combine_chunks()
-        self.bands = np.asarray((bands.chunk(0) if isinstance(bands, pa.ChunkedArray) else bands).flatten()).reshape(-1, BANDS)[:, : self.band]
+        self.bands = np.asarray((bands.chunk(0) if isinstance(bands, pa.ChunkedArray) else bands).flatten()).reshape(len(self.ids), -1)[:, : self.band]
         self.percent, self.least = percent, least
 
     def partners(self, i: int, comp: np.ndarray) -> np.ndarray:
@@ -298,11 +312,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest id reachable by links, kept marks doc_id = component_id.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = checkpoint(rows.mapInArrow(_features, "id long, n long, digest binary, sig binary, bands array<long>"))
+    found = checkpoint(rows.mapInArrow(_features(*shape(percent)), "id long, n long, digest binary, sig binary, bands array<long>"))
     merged = checkpoint(found.filter("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep")))
     lone = found.join(merged, (found.digest == merged.digest) & (found.id == merged.rep), "left_semi")
     texts = rows.join(merged, rows.id == merged.rep, "left_semi")
-    least = cut(percent / 100)
+    least = cut(percent / 100, shape(percent)[0])
     features = lone.select("id", "sig", "bands")
     narrow = lone.select("id", "n", F.posexplode("bands").alias("band", "key"))
     busy = narrow.groupBy("key").agg(F.count("*").alias("rows"), F.min("id").alias("head")).filter("rows > 1")
@@ -345,7 +359,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """The rows of docs that stay: of each group the document with the smallest id."""
     gone = near_duplicates(docs, id_col, text_col, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")

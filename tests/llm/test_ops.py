@@ -121,6 +121,19 @@ def test_near_dedup_in_salts(spark, monkeypatch):
     assert len({r[2] for r in got if r[0] and r[0] >= 1000}) == 1
 
 
+def test_pipeline_stage_finds_pairs_from_80_percent(spark):
+    rows = []
+    for k in range(20):
+        words = [f"w{k}x{i}" for i in range(100)]
+        for j, cut in enumerate((0, 9, 17)):  # similarities 1, 87/105 and 79/113 to the first, as 9 or 17 words at the end differ
+            rows.append((10 * k + j, " ".join(words[: 100 - cut] + [f"v{k}x{j}x{i}" for i in range(cut)]), "en"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    gone = {i for i, _, _ in rows} - {r["doc_id"] for r in corpus_pipeline.near(spark, docs, DATA).collect()}
+    want = {r[0] for r in near_brute([r[:2] for r in rows], 80) if not r[3]}
+    assert gone == want and {10 * k + 1 for k in range(20)} <= want
+    assert not any(not r[3] for r in near_brute([r[:2] for r in rows], 85))
+
+
 def test_shingles_of_blocks_and_long_words():
     import pyarrow as pa
 
