@@ -18,23 +18,38 @@ def session() -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, local mode) a folder is made here.
+    Only where that setting is absent, which is allowed in local mode alone, a folder is made here.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cellweave-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="cellweave-"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from those files.
 
-    A reliable checkpoint: it survives lost executors, and Spark removes the files
-    once no plan refers to them.
+    A reliable checkpoint: it survives lost executors. Spark removes the files of a plan
+    that is gone only with spark.cleaner.referenceTracking.cleanCheckpoints=true; see release.
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def release(*dfs: DataFrame) -> None:
+    """Delete the files of checkpoints that nothing will read again, as a later checkpoint holds what they led to."""
+    for df in dfs:
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        for k in range(leaves.size()):
+            if leaves.apply(k).nodeName() == "LogicalRDD":
+                file = leaves.apply(k).rdd().getCheckpointFile()
+                if file.isDefined():
+                    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+                    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def same(a: Column, b: Column) -> Column:
     """Null-safe equality."""
     return a.eqNullSafe(b)
