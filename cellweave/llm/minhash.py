@@ -13,7 +13,10 @@ links that join components. A hot bucket is one task's work in neither round: th
 first salts buckets over SLICE rows by id, each salt holding the bucket's leader too,
 so that what is near the leader is joined across salts; the second deals buckets over
 CELL rows or CELL_SHINGLES out to cells of at most two slices, with bounded memory and
-no pair left out.
+no pair left out. Joins on a bucket, a digest or a leader are salted where it is hot.
+
+Texts are read again only where a pair needs them: the ids that do are broadcast while
+they are few, and joined by a shuffle of texts beyond that.
 
 Defined cases: a null or wordless text has n_shingles 0 and links with nothing; a row
 whose id is null links with nothing, has a null component and is kept; rows that share
@@ -32,8 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm.shingles import coefficients, mix, shingle_sets
+from cellweave.llm.skew import SLICE, dealt, having, hot_keys, lacking, repeated
 from cellweave.operators.components import connected_components
-from cellweave.util import checkpoint
+from cellweave.util import checkpoint, release
 
 K, B, ROWS = 144, 4, 6
 BANDS = K // ROWS
@@ -43,8 +47,6 @@ LOWER, LOWER_K, LOWER_ROWS = 85, 160, 5
 DEVIATIONS = 4.0
 #: Neighbours in a sorted bucket that the first round looks at.
 REACH = 16
-#: Rows of a bucket that one salt of the first round takes.
-SLICE = 512
 #: Rows of a bucket that one cell of the second round takes from a slice.
 CELL = 4096
 #: Shingles of a bucket that one cell takes from a slice.
@@ -294,15 +296,21 @@ def _settled(least: float, percent: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough. texts: id, text of one row for each distinct set."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = texts.join(need, "id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>")
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    test = 100 * both >= percent * (F.size("sa") + F.size("sb") - both)
-    return pairs.join(left, "a").join(right, "b").filter(test).select("a", "b")
+def _confirmed(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough. rows: id, text.
+
+    A document that is in very many pairs, as a hot bucket's leader is, is joined by salts.
+    """
+    need = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("times"))
+    need = checkpoint(need)
+    sets = having(rows, need.select("id"), "id").mapInArrow(_sets, "id long, shingles array<long>")
+    sets = checkpoint(sets)
+    hot = hot_keys(need, "id", "times", 2 * pairs.count(), SLICE)
+    out, both = pairs, F.size(F.array_intersect("s_a", "s_b"))
+    for side, other in ("ab", "ba"):
+        own = repeated(sets.select(F.col("id").alias(side), F.col("shingles").alias(f"s_{side}")), hot, side)
+        out = dealt(out, hot, side, F.col(other)).join(own, [side, "__salt"]).drop("__salt")
+    return out.filter(100 * both >= percent * (F.size("s_a") + F.size("s_b") - both)).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -312,43 +320,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest id reachable by links, kept marks doc_id = component_id.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = checkpoint(rows.mapInArrow(_features(*shape(percent)), "id long, n long, digest binary, sig binary, bands array<long>"))
-    merged = checkpoint(found.filter("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep")))
-    lone = found.join(merged, (found.digest == merged.digest) & (found.id == merged.rep), "left_semi")
-    texts = rows.join(merged, rows.id == merged.rep, "left_semi")
+    # Checkpointed, so that the numbers of its rows are fixed.
+    found = checkpoint(rows.mapInArrow(_features(*shape(percent)), "id long, n long, digest binary, sig binary, bands array<long>")).withColumn("row", F.monotonically_increasing_id())
+    sound = found.filter("digest is not null and id is not null")
+    # Most digests have one row, which stands for itself; of the others the row with the least id does.
+    copies = sound.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("first"), F.count("*").alias("rows")).filter("rows > 1")
+    copies = checkpoint(copies.select("digest", F.col("first.id").alias("rep"), F.col("first.row").alias("rep_row"), "rows"))
+    twin = hot_keys(copies, "digest", "rows", found.count(), SLICE)
+    sets = dealt(found.select("id", "n", "digest", "row"), twin, "digest", F.col("row")).join(repeated(copies.drop("rows"), twin, "digest"), ["digest", "__salt"], "left")
+    known = F.col("id").isNotNull() & F.col("digest").isNotNull()
+    sets = checkpoint(sets.select("id", "n", F.when(known, F.coalesce("rep", "id")).alias("rep"), "row", F.when(known, F.col("row") != F.coalesce("rep_row", "row")).alias("copy")))
+    lone = checkpoint(lacking(sound, sets.filter("copy").select(F.col("row").alias("r")), F.col("row") == F.col("r")).drop("row"))
+    release(found)
     least = cut(percent / 100, shape(percent)[0])
-    features = lone.select("id", "sig", "bands")
     narrow = lone.select("id", "n", F.posexplode("bands").alias("band", "key"))
-    busy = narrow.groupBy("key").agg(F.count("*").alias("rows"), F.min("id").alias("head")).filter("rows > 1")
-    busy = busy.select("key", "head", F.ceil(F.col("rows") / SLICE).cast("int").alias("salts"))
-    multi = narrow.join(busy, "key").withColumn("leads", (F.col("salts") > 1) & (F.col("id") == F.col("head"))).drop("head")
+    busy = checkpoint(narrow.groupBy("key").agg(F.count("*").alias("rows"), F.min("id").alias("head")).filter("rows > 1"))
+    total = busy.agg(F.sum("rows")).first()[0] or 0
+    hot = hot_keys(busy, "key", "rows", total, SLICE)
+    sized = busy.select("key", "head", F.ceil(F.col("rows") / SLICE).cast("int").alias("salts"))
+    multi = dealt(narrow, hot, "key", F.col("id")).join(repeated(sized, hot, "key"), ["key", "__salt"])
+    multi = multi.withColumn("leads", (F.col("salts") > 1) & (F.col("id") == F.col("head"))).drop("head", "__salt")
     multi = checkpoint(multi)  # buckets of one row are most, and have gone here
     salt = F.when(F.col("leads"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")))
     salted = multi.withColumn("salt", F.explode(salt)).withColumn("run", F.when(F.col("salts") > 1, F.xxhash64("key", "salt")).otherwise(F.col("key")))
-    banded = salted.join(features, "id").select("run", "id", "n", "sig", "leads")
+    met = checkpoint(multi.select("id").distinct())
+    features = checkpoint(having(lone.select("id", "sig", "bands"), met, "id"))
+    banded = salted.join(features.select("id", "sig"), "id").select("run", "id", "n", "sig", "leads")
     first = banded.repartition("run").sortWithinPartitions("run", F.desc("leads"), "n", "id").select("run", "id", "n", "sig").mapInArrow(_near(least, percent), "a long, b long")
     tested = checkpoint(first.distinct())
-    links = checkpoint(_confirmed(tested, texts, percent))
+    links = checkpoint(_confirmed(tested, rows, percent))
     comps = connected_components(links, "a", "b")
 
     spread = multi.join(comps, multi.id == comps.node, "left").select("key", "band", "id", "n", F.coalesce("component", "id").alias("comp"))
     open_ = spread.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("rows"), F.sum("n").alias("size")).filter("c0 <> c1")
-    open_ = open_.select("key", F.ceil(F.greatest(F.col("rows") / CELL, F.col("size") / CELL_SHINGLES)).cast("int").alias("slices"))
-    cells = spread.join(open_, "key").join(features, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
+    open_ = checkpoint(open_.select("key", F.ceil(F.greatest(F.col("rows") / CELL, F.col("size") / CELL_SHINGLES)).cast("int").alias("slices")))
+    cells = dealt(spread, hot, "key", F.col("id")).join(repeated(open_, hot, "key"), ["key", "__salt"]).drop("__salt")
+    cells = cells.join(features, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     cells = cells.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "band", "id", "n", "comp", "part", "sig", "bands")
     cell = ["key", "lo", "hi"]
     kind = "key long, lo int, hi int, band int, id long, n long, comp long, part int, sig binary, bands array<long>"
     unsettled = checkpoint(cells.repartition(*cell).sortWithinPartitions(*cell, "id").mapInArrow(_unsettled(least, percent), kind))
     if not unsettled.isEmpty():
-        need = unsettled.select("id").distinct()
-        full = texts.join(need, "id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>")
+        full = having(rows, unsettled.select("id").distinct(), "id").mapInArrow(_sets, "id long, shingles array<long>")
         rows_ = unsettled.join(full, "id").select(*unsettled.columns, "shingles")
         more = checkpoint(rows_.repartition(*cell).sortWithinPartitions(*cell, "id").mapInArrow(_settled(least, percent), "a long, b long").distinct())
         links = links.unionByName(more)
         comps = connected_components(links, "a", "b")
 
-    sets = found.join(merged, "digest", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep"))
     # An id in several rows is one node: its sets' representatives and itself belong together.
     shared = sets.filter("rep is not null").groupBy("id").agg(F.min("rep").alias("r0"), F.max("rep").alias("r1")).filter("r0 <> r1")
     if not shared.isEmpty():
