@@ -5,10 +5,13 @@ are cut into full pieces, the first taking the remainder. A full piece is a sequ
 of its own. The others are dealt evenly over shards of SHARD pieces; in each shard a
 best-fit-decreasing start is improved by moving documents and by exchanging one for
 one or two for one between underfull sequences, each step increasing the sum of
-squared fills, until sequences empty or none can. What is still underfull in any
-shard is then pooled and packed again.
+squared fills, until sequences empty or no step is left. A step is looked for among all
+underfull sequences. A task packs one shard after another, so the number of tasks stays
+below TASKS at any size. What is still underfull in any shard is then pooled and packed
+again.
 
-Defined cases: a null or empty text is the end id alone; rows with a null or repeated
+Defined cases: a null or empty text is the end id alone; the vocabulary's special
+strings are ids of their own, as the vocabulary file says; rows with a null or repeated
 id are packed like any others; an empty table gives an empty table.
 """
 
@@ -17,7 +20,6 @@ from __future__ import annotations
 import base64
 import re
 import zlib
-from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
@@ -33,11 +35,10 @@ from cellweave.util import checkpoint
 LIMIT = 1024
 END = 2
 VOCABULARY = "byte_bpe_50k"
-#: Pieces that one task packs.
-SHARD = 16384
+#: Pieces that are packed together, and tasks at most.
+SHARD, TASKS = 16384, 8192
 #: Sequences with this many places free or more are packed once more.
 SLACK = 8
-PASSES = 6
 
 
 @cache
@@ -47,24 +48,26 @@ def _encoders(vocabulary: str):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
-    exact.encode_special_tokens = True
     with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return exact, fast
+    special = [re.escape(t.content) for t in exact.get_added_tokens_decoder().values()]
+    # What goes to the exact library: special strings, long blanks, and characters whose classes could differ.
+    return exact, fast, re.compile("|".join([*special, rf"\s{{{LONG}}}", "[^\0-\x1b\x20-ɏ]"]))
 
 
-_BEYOND = re.compile("[^\0-ɏ]")
+#: Characters of a word or a blank from which a text isn't given to the fast library, whose patterns recurse.
+LONG = 512
 
 
 def encode(text: str, vocabulary: str = VOCABULARY) -> list[int]:
-    """The ids that ``tokenizers`` gives, special strings being ordinary text.
+    """The ids that ``tokenizers`` gives.
 
-    Latin text goes through tiktoken with the same vocabulary: the same ids, three times
-    as fast. Other text, where the two libraries' letter classes could differ, doesn't.
+    Latin text without special strings or long runs goes through tiktoken with the same
+    vocabulary: the same ids, four times as fast.
     """
-    exact, fast = _encoders(vocabulary)
-    if _BEYOND.search(text):
+    exact, fast, beyond = _encoders(vocabulary)
+    if beyond.search(text) or (len(text) >= LONG and max(map(len, text.split()), default=0) >= LONG):
         return exact.encode(text, add_special_tokens=False).ids
     return fast.encode_ordinary(text)
 
@@ -124,7 +127,7 @@ def best_fit(lengths: np.ndarray, limit: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: np.ndarray, limit: int, passes: int = PASSES) -> list[list[int]]:
+def improve(bins: list[list[int]], lengths: np.ndarray, limit: int) -> list[list[int]]:
     """Move and exchange documents between underfull bins, each step increasing the sum of squared fills.
 
     Starting from the emptiest bin, its documents go, in this order of preference, into
@@ -134,75 +137,103 @@ def improve(bins: list[list[int]], lengths: np.ndarray, limit: int, passes: int
     size = lengths.tolist()
     fill = [sum(size[i] for i in b) for b in bins]
     need = -(-sum(fill) // limit)
-    for _ in range(passes):
-        if sum(map(bool, bins)) <= need:
-            break
+    moved = True
+    while moved and sum(map(bool, bins)) > need:
         low = sorted((b for b in range(len(bins)) if 0 < fill[b] < limit), key=lambda b: fill[b])
-        # For each underfull bin and document: what could stand in the document's place.
-        slots = sorted((size[y] + limit - fill[b], -size[y], b, y) for b in low for y in bins[b])
-        rooms = sorted((limit - fill[b], b) for b in low)
+        search = _Places(low, bins, size, fill, limit)
         moved = False
         for a in low:
-            steps = True
-            while bins[a] and steps:
-                steps = False
-                for x in sorted(bins[a], key=lambda i: -size[i]):
-                    if x not in bins[a]:
-                        continue
-                    to = _move(a, x, size, fill, rooms, limit)
-                    if to is not None:
-                        _exchange(bins, fill, size, a, [x], to, [])
-                        steps = True
-                        continue
-                    hit = _swap(a, [x], size, fill, slots, limit, bins)
-                    if hit is not None:
-                        _exchange(bins, fill, size, a, [x], *hit)
-                        steps = True
-                if not steps and len(bins[a]) > 1:
-                    own = sorted(bins[a], key=lambda i: size[i])
-                    for p, q in zip(own, own[1:], strict=False):
-                        hit = _swap(a, [p, q], size, fill, slots, limit, bins)
-                        if hit is not None:
-                            _exchange(bins, fill, size, a, [p, q], *hit)
-                            steps = True
-                            break
-                moved |= steps
-        if not moved:
-            break
+            while bins[a] and search.step(a):
+                moved = True
     return [b for b in bins if b]
 
 
-def _move(a: int, x: int, size: list[int], fill: list[int], rooms: list[tuple[int, int]], limit: int) -> int | None:
-    """A bin at least as full as a's rest with room for x."""
-    for k in range(bisect_left(rooms, (size[x], -1)), min(len(rooms), bisect_left(rooms, (size[x], -1)) + 16)):
-        b = rooms[k][1]
-        if b != a and fill[b] and fill[b] + size[x] <= limit and fill[b] > fill[a] - size[x]:
-            return b
-    return None
-
-
-def _swap(a: int, xs: list[int], size: list[int], fill: list[int], slots: list, limit: int, bins: list[list[int]]):
-    """A fuller bin and its document that gives way to xs, the tightest fit first."""
-    n = sum(size[x] for x in xs)
-    at = bisect_left(slots, (n, -limit - 1))
-    for k in range(at, min(len(slots), at + 32)):
-        _, y, b, j = slots[k]
-        gain = n + y
-        if b != a and gain > 0 and fill[b] + gain <= limit and fill[b] + gain > fill[a] and j in bins[b]:
-            return b, [j]
-    return None
+class _Places:
+    """Underfull bins by their free places, and their documents by what fits in their stead.
 
+    A document of n places that leaves bin a raises the sum of squares where the other
+    bin's free places, or those and the document that gives way, are n or more and under
+    limit - fill of a + n. Entries that a step has made untrue are dropped when met; what
+    a step has made true is found in the next pass.
+    """
 
-def _exchange(bins: list[list[int]], fill: list[int], size: list[int], a: int, xs: list[int], b: int, ys: list[int]) -> None:
-    for x in xs:
-        bins[a].remove(x)
-    for y in ys:
-        bins[b].remove(y)
-    bins[a] += ys
-    bins[b] += xs
-    gain = sum(size[x] for x in xs) - sum(size[y] for y in ys)
-    fill[a] -= gain
-    fill[b] += gain
+    def __init__(self, low: list[int], bins: list[list[int]], size: list[int], fill: list[int], limit: int):
+        self.bins, self.size, self.fill, self.limit = bins, size, fill, limit
+        self.rooms: list[list[int]] = [[] for _ in range(limit + 1)]
+        self.slots: list[list[tuple[int, int]]] = [[] for _ in range(limit + 1)]
+        for b in low:
+            free = limit - fill[b]
+            self.rooms[free].append(b)
+            for s in {size[y] for y in bins[b]}:
+                self.slots[free + s].append((-s, b))
+        for slot in self.slots:
+            slot.sort()  # the smallest document last
+
+    def _span(self, a: int, n: int) -> range:
+        return range(n, min(self.limit, self.limit - self.fill[a] + n - 1) + 1)
+
+    def room(self, a: int, n: int) -> int | None:
+        """A bin for n places of a, the tightest first."""
+        for free in self._span(a, n):
+            here = self.rooms[free]
+            for k in range(len(here) - 1, -1, -1):
+                b = here[k]
+                if not self.bins[b] or self.limit - self.fill[b] != free:
+                    here.pop(k)
+                elif b != a:
+                    return b
+        return None
+
+    def slot(self, a: int, n: int) -> tuple[int, int] | None:
+        """A bin and its document, smaller than n, that gives way to n places of a."""
+        for total in self._span(a, n):
+            here = self.slots[total]
+            for k in range(len(here) - 1, -1, -1):
+                s, b = -here[k][0], here[k][1]
+                if s >= n:
+                    break
+                if self.limit - self.fill[b] + s != total:
+                    here.pop(k)
+                    continue
+                y = next((y for y in self.bins[b] if self.size[y] == s), None) if b != a else None
+                if y is not None:
+                    return b, y
+        return None
+
+    def step(self, a: int) -> bool:
+        """One step that takes something out of bin a, if there is one."""
+        own = {}
+        for x in self.bins[a]:
+            own.setdefault(self.size[x], []).append(x)
+        sizes = sorted(own, reverse=True)
+        for n in sizes:
+            b = self.room(a, n)
+            if b is not None:
+                return self._exchange(a, own[n][:1], b, [])
+            hit = self.slot(a, n)
+            if hit is not None:
+                return self._exchange(a, own[n][:1], hit[0], [hit[1]])
+        tried = set()
+        for i, m in enumerate(sizes):
+            for n in sizes[i if len(own[m]) > 1 else i + 1 :]:
+                if m + n <= self.limit and m + n not in tried:
+                    tried.add(m + n)
+                    hit = self.slot(a, m + n)
+                    if hit is not None:
+                        return self._exchange(a, own[m][:2] if m == n else [own[m][0], own[n][0]], hit[0], [hit[1]])
+        return False
+
+    def _exchange(self, a: int, xs: list[int], b: int, ys: list[int]) -> bool:
+        for x in xs:
+            self.bins[a].remove(x)
+        for y in ys:
+            self.bins[b].remove(y)
+        self.bins[a] += ys
+        self.bins[b] += xs
+        gain = sum(self.size[x] for x in xs) - sum(self.size[y] for y in ys)
+        self.fill[a] -= gain
+        self.fill[b] += gain
+        return True
 
 
 def pack_lengths(lengths: np.ndarray, limit: int = LIMIT) -> list[list[int]]:
@@ -210,36 +241,46 @@ def pack_lengths(lengths: np.ndarray, limit: int = LIMIT) -> list[list[int]]:
     return improve(best_fit(lengths, limit), lengths, limit)
 
 
-def _packer(limit: int, base: int):
+def _shards(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """The rows of a partition in tables of the given number; the last one may be smaller."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        while n >= rows:
+            whole = pd.concat(held, ignore_index=True)
+            yield whole.iloc[:rows].reset_index(drop=True)
+            held, n = [whole.iloc[rows:]], n - rows
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _packer(limit: int, base: int, rows: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [b for b in batches if len(b)]
-        if not parts:
-            return
-        shard = pd.concat(parts, ignore_index=True)
-        shard = shard.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
-        lengths = shard["length"].to_numpy()
-        bins = pack_lengths(lengths, limit)
-        order = np.concatenate([np.array(b) for b in bins])
-        sizes = np.array([len(b) for b in bins])
-        out = shard.iloc[order].copy()
-        number = np.repeat(np.arange(len(bins)), sizes)
-        upto = np.cumsum(out["length"].to_numpy())
-        first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        before = upto - out["length"].to_numpy()
-        out["offset"] = before - before[first][number]
-        total = np.add.reduceat(out["length"].to_numpy(), first)
-        out["fill"] = total[number]
-        out["sequence_id"] = base + (TaskContext.get().partitionId() << 32) + number
-        yield out
+        next_id = base + (TaskContext.get().partitionId() << 40)
+        for shard in _shards(batches, rows):
+            shard = shard.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
+            bins = pack_lengths(shard["length"].to_numpy(), limit)
+            order = np.concatenate([np.array(b) for b in bins])
+            sizes = np.array([len(b) for b in bins])
+            out = shard.iloc[order].copy()
+            length, number = out["length"].to_numpy(), np.repeat(np.arange(len(bins)), sizes)
+            first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            before = np.cumsum(length) - length
+            out["offset"] = before - before[first][number]
+            out["fill"] = np.add.reduceat(length, first)[number]
+            out["sequence_id"] = next_id + number
+            next_id += len(bins)
+            yield out
 
     return run
 
 
 def _packed(rows: DataFrame, n: int, shard: int, limit: int, base: int) -> DataFrame:
-    """rows dealt evenly over tasks of about shard rows, whatever their ids, and packed there."""
+    """rows dealt evenly over tasks, whatever their ids, and packed there in shards of at most shard rows."""
     plain = rows.drop("offset", "fill", "sequence_id")
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema) + ", offset long, fill long, sequence_id long"
-    return plain.repartition(max(1, -(-n // shard))).mapInPandas(_packer(limit, base), kind)
+    return plain.repartition(max(1, min(TASKS, -(-n // shard)))).mapInPandas(_packer(limit, base, shard), kind)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, limit: int = LIMIT, end: int = END, shard: int = SHARD, with_ids: bool = False) -> DataFrame:
