@@ -49,7 +49,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign(table(spark, sf_dir, "documents"))
+    return sharding.query(table(spark, sf_dir, "documents"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

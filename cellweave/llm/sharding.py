@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.util import checkpoint
+from cellweave.util import checkpoint, release
 
 LIMIT = 16 << 20
 HASH_BITS = 48
@@ -35,13 +35,14 @@ def _prefix(depth: Column) -> list[Column]:
     return [first.alias("p"), second.alias("q")]
 
 
-def keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, bytes and the key's two numbers h and g, checkpointed."""
+def keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """doc_id, bytes and the key's two numbers h and g, checkpointed; with ``whole`` also row, a struct of docs' own columns."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(text.cast("binary"))))
     h = F.conv(F.substring(F.md5(name.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
     g = F.call_function("shiftrightunsigned", F.xxhash64(F.monotonically_increasing_id()), F.lit(64 - HASH_BITS))
-    return checkpoint(docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("bytes"), h.alias("h"), g.alias("g")))
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []
+    return checkpoint(docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("bytes"), h.alias("h"), g.alias("g"), *row))
 
 
 def directory(rows: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, list[int]]:
@@ -71,10 +72,9 @@ def directory(rows: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, list[int]
         least, at = at + 1, min(2 * HASH_BITS, at + 8)
 
 
-def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
-    """One row per row of docs: doc_id, bytes, shard (its bits), depth, shard_bytes, shard_docs."""
-    rows = keys(docs, id_col, text_col)
-    table, depths = directory(rows, limit)
+def _assigned(rows: DataFrame, limit: int) -> DataFrame:
+    """rows as ``keys`` gives them, with shard (its bits), depth, shard_bytes and shard_docs: each row once."""
+    table, depths = directory(rows.select("bytes", "h", "g"), limit)
     out, rest = None, rows
     for at in depths:
         own = rest.withColumns(dict(zip(("p", "q"), _prefix(F.lit(at)), strict=True)))
@@ -84,16 +84,38 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
         if at != depths[-1]:
             rest = own.join(leaf, ["p", "q"], "left_anti").select(rows.columns)
     bits = F.concat(F.lpad(F.bin("h"), HASH_BITS, "0"), F.lpad(F.bin("g"), HASH_BITS, "0"))
-    return out.select("doc_id", "bytes", bits.substr(F.lit(1), F.col("depth")).alias("shard"), "depth", "shard_bytes", "shard_docs")
+    return out.withColumn("shard", bits.substr(F.lit(1), F.col("depth")))
+
+
+def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
+    """One row per row of docs: doc_id, bytes, shard (its bits), depth, shard_bytes, shard_docs."""
+    return _assigned(keys(docs, id_col, text_col), limit).select("doc_id", "bytes", "shard", "depth", "shard_bytes", "shard_docs")
+
+
+def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> str:
+    """docs as Parquet with a folder for each shard, every row once, whatever its id.
+
+    Returns the name of the folders' column: ``shard``, with underscores before it where docs has that column.
+    """
+    name = "shard"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = "_" + name
+    rows = keys(docs, id_col, text_col, whole=True)
+    out = _assigned(rows, limit).select("row.*", F.concat(F.lit("s"), "shard").alias(name))
+    out.repartition(name).write.partitionBy(name).parquet(path)
+    release(rows)
+    return name
+
+
+#: Of the registered query: small enough that the smaller tables split as well.
+QUERY_LIMIT = 1 << 20
 
 
-def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> None:
-    """docs as Parquet with a folder for each shard. Rows of one id go to that id's shards; ids must be unique and not null."""
-    shards = assign(docs, id_col, text_col, limit).select(F.col("doc_id").alias("__id"), F.concat(F.lit("s"), "shard").alias("__shard"))
-    docs.join(shards, docs[id_col] == F.col("__id")).drop("__id").repartition("__shard").write.partitionBy("__shard").parquet(path)
+def query(docs: DataFrame) -> DataFrame:
+    return assign(docs, limit=QUERY_LIMIT)
 
 
-def oracle(limit: int = LIMIT) -> str:
+def oracle(limit: int = QUERY_LIMIT) -> str:
     return f"""
 WITH d AS (SELECT doc_id, strlen(coalesce(text, '')) AS bytes, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))), 1, 12) AS BIGINT) AS h FROM documents),
 b AS (SELECT doc_id, bytes, lpad(bin(h), 48, '0') AS bits FROM d),
