@@ -8,12 +8,14 @@ by forward-backward, and a document the language with the largest mean marginal.
 The model is fitted on a bounded sample: of each language about SAMPLE_DOCS labelled
 documents, and of each SAMPLE_RUNS runs of RUN words, at places that a hash sets.
 Chains that switch between languages are spliced from these runs, as the labels are
-those of whole documents. Everything else covers every word: a text is read in chains
-of CHAIN words.
+those of whole documents. Everything else covers every word: a document is one chain.
+Its blocks of CHAIN words are multiplied out side by side, and messages between blocks
+make their marginals those of the whole chain.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, as is
 every text where no labelled document was given; a null id is never used for training
-and is not held out; with more than MAX_LANGUAGES labels the most frequent are learned.
+and is not held out; every label is learned, and over MAX_LANGUAGES of them are an error,
+as a table of all transitions goes to every task.
 """
 
 from __future__ import annotations
@@ -21,17 +23,18 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
 SAMPLE_DOCS, SAMPLE_RUNS, RUN = 300, 4, 48
-MAX_LANGUAGES = 64
+MAX_LANGUAGES = 512
+#: Words of a block of a chain; the results don't depend on it.
 CHAIN = 64
 #: Letters of a word at most; longer runs of letters are several words.
 LETTERS = 24
@@ -221,9 +224,11 @@ def _sampler(places: int):
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, seed: int = SEED) -> Model | None:
     """Fit on labelled documents that are not held out: at most about sample_docs of each language reach the driver, as runs of words."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
-    labels = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    labels = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if not labels:
         return None
+    if len(labels) > MAX_LANGUAGES:
+        raise ValueError(f"over {MAX_LANGUAGES} languages")
     # A hash below a language's share picks its documents; 1.25 makes too few of them unlikely.
     share = {r["lang"]: min(1 << 30, int((1 << 30) * 1.25 * sample_docs / r["count"]) + 1) for r in labels}
     limit = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang"))
@@ -252,92 +257,181 @@ class _Reader:
             self.table = np.concatenate([self.table, self.model.emissions(new)])
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
-    def totals(self, texts: list[list[str]]) -> np.ndarray:
-        """The summed marginals of each text's words."""
-        k = len(self.model.languages)
-        out = np.zeros((len(texts), k))
+    def blocks(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The words' numbers, and of each block its text, first word and length, and whether it begins its text."""
         flat = self.numbers([w for t in texts for w in t])
         counts = np.array([len(t) for t in texts])
-        chains = -(-counts // CHAIN)
-        owner = np.repeat(np.arange(len(texts)), chains)
+        n = -(-counts // CHAIN)
+        owner = np.repeat(np.arange(len(texts)), n)
         base = np.concatenate(([0], np.cumsum(counts)[:-1]))
-        nth = np.arange(len(owner)) - np.repeat(np.concatenate(([0], np.cumsum(chains)[:-1])), chains)
-        begin = base[owner] + nth * CHAIN
-        lengths = np.minimum(CHAIN, counts[owner] - nth * CHAIN)
+        nth = np.arange(len(owner)) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
+        return flat, owner, base[owner] + nth * CHAIN, np.minimum(CHAIN, counts[owner] - nth * CHAIN), nth
+
+    def marginals(self, texts: list[list[str]], each: bool = False):
+        """The summed marginals of each text's words; with ``each``, the marginals of all words instead."""
+        k, m = len(self.model.languages), self.model
+        flat, owner, begin, lengths, nth = self.blocks(texts)
+        into, back = np.ones((len(owner), k)), np.ones((len(owner), k))
+        move = np.exp(m.moves - m.moves.max()).astype(np.float64)
+        into[nth == 0] = np.exp(m.start - m.start.max())
+        step = max(1, min(4096, (1 << 23) // (CHAIN * k)))
+
+        def scores(c: np.ndarray) -> np.ndarray:
+            spot = np.minimum(begin[c][:, None] + np.arange(int(lengths[c].max())), len(flat) - 1)
+            return self.table[flat[spot]]
+
+        long = np.flatnonzero(np.isin(owner, owner[nth > 0]))  # the blocks of texts that have several
+        if len(long):
+            product = np.empty((len(long), k, k))
+            for at in range(0, len(long), max(1, step // k)):
+                c = long[at : at + max(1, step // k)]
+                product[at : at + len(c)] = _products(scores(c), lengths[c], move)
+            place = np.full(len(owner), -1)
+            place[long] = np.arange(len(long))
+            most = int(nth.max())
+            for i in range(1, most + 1):  # what comes into a block from those before it
+                c = np.flatnonzero(nth == i)
+                x = np.einsum("ca,cab->cb", into[c - 1], product[place[c - 1]]) @ move
+                into[c] = x / x.sum(axis=1, keepdims=True)
+            for i in range(most, 0, -1):  # and from those after it
+                c = np.flatnonzero(nth == i)
+                x = np.einsum("cab,cb->ca", product[place[c]], back[c]) @ move.T
+                back[c - 1] = x / x.sum(axis=1, keepdims=True)
+        out = np.zeros((len(flat) if each else len(texts), k))
         order = np.argsort(lengths, kind="stable")
-        for at in range(0, len(order), 4096):
-            c = order[at : at + 4096]
-            t = int(lengths[c].max())
-            spot = np.minimum(begin[c][:, None] + np.arange(t), len(flat) - 1)
-            g = _word_marginals(self.table[flat[spot]], lengths[c], self.model.start, self.model.moves)
-            np.add.at(out, owner[c], g)
+        for at in range(0, len(order), step):
+            c = order[at : at + step]
+            g = _word_marginals(scores(c), lengths[c], into[c], back[c], move, each)
+            if each:
+                live = np.arange(g.shape[0])[:, None] < lengths[c]
+                i, j = np.nonzero(live)
+                out[begin[c][j] + i] = g[i, j]
+            else:
+                np.add.at(out, owner[c], g)
         return out
 
 
-def _word_marginals(scores: np.ndarray, lengths: np.ndarray, start: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """The marginals of ``marginals`` summed over each chain, without the expected transitions; words come first in memory."""
+def _products(scores: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Of each block the matrix that takes a message on its first word to one on its last, scaled: emissions, and moves between them."""
+    e = np.exp(scores - scores.max(axis=2, keepdims=True)).astype(np.float64)
+    c, t, k = e.shape
+    out = np.eye(k) * e[:, 0, None, :]
+    for i in range(1, t):
+        x = (out @ move) * e[:, i, None, :]
+        x /= np.maximum(x.max(axis=(1, 2), keepdims=True), 1e-300)
+        out = np.where((lengths > i)[:, None, None], x, out)
+    return out
+
+
+def _word_marginals(scores: np.ndarray, lengths: np.ndarray, into: np.ndarray, back: np.ndarray, move: np.ndarray, each: bool = False) -> np.ndarray:
+    """The marginals of blocks, (words, blocks, languages) or summed over each block's words.
+
+    into: the message on a block's first word, before its emission; back: that on its last word from what follows.
+    """
     e = np.ascontiguousarray(scores.transpose(1, 0, 2))
     e -= e.max(axis=2, keepdims=True)
     np.exp(e, out=e)
     t, s, k = e.shape
-    a0, m = np.exp(start - start.max()), np.exp(moves - moves.max())
+    m = move.astype(e.dtype)
     alpha = np.empty_like(e)
-    alpha[0] = a0 * e[0]
-    alpha[0] /= alpha[0].sum(axis=1, keepdims=True)
+    alpha[0] = into * e[0]
+    alpha[0] /= np.maximum(alpha[0].sum(axis=1, keepdims=True), 1e-30)
     for i in range(1, t):
         x = alpha[i - 1] @ m
         x *= e[i]
         x /= np.maximum(x.sum(axis=1, keepdims=True), 1e-30)
         alpha[i] = x
-    out, back = np.zeros((s, k)), np.ones((s, k), e.dtype)
+    out, end = np.zeros((t, s, k) if each else (s, k)), (back / back.max(axis=1, keepdims=True)).astype(e.dtype)
+    beta = end
     for i in range(t - 1, -1, -1):
         if i < t - 1:
-            x = (e[i + 1] * back) @ m.T
+            x = (e[i + 1] * beta) @ m.T
             x /= np.maximum(x.max(axis=1, keepdims=True), 1e-30)
-            back = np.where((lengths > i + 1)[:, None], x, 1)
-        g = alpha[i] * back
+            beta = np.where((lengths > i + 1)[:, None], x, end)
+        g = alpha[i] * beta
         g /= np.maximum(g.sum(axis=1, keepdims=True), 1e-30)
         g[lengths <= i] = 0
-        out += g
+        if each:
+            out[i] = g
+        else:
+            out += g
     return out
 
 
 _READERS: dict[str, _Reader | None] = {}
 
 
-def _predictor(shared, tag: str):
+def _reader(shared, tag: str) -> _Reader | None:
+    """The worker's reader of a model."""
+    if tag not in _READERS:
+        _READERS.clear()
+        _READERS[tag] = _Reader(shared.value) if shared.value is not None else None
+    return _READERS[tag]
+
+
+def _slices(batches: Iterator[pa.RecordBatch], text: str | None):
+    """Slices of batches with their texts' words, which are in the row or, where text is None, beside it."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            column = part.column(1) if text is None else part.column(0).field(text)
+            yield part, [words_of(x) for x in column.to_pylist()]
+
+
+def _predictor(shared, tag: str, text: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tag not in _READERS:
-            _READERS.clear()
-            _READERS[tag] = _Reader(shared.value) if shared.value is not None else None
-        reader = _READERS[tag]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = [words_of(x) for x in part.column(1).to_pylist()]
-                pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-                if reader is not None and any(texts):
-                    sums = reader.totals(texts)
-                    for i, t in enumerate(texts):
-                        if t and any(c.isalpha() for w in t for c in w):
-                            best = int(sums[i].argmax())
-                            pred[i], score[i] = reader.model.languages[best], min(1.0, sums[i, best] / len(t))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred), pa.array(score)], ["row", "lang_pred", "score"])
+        reader = _reader(shared, tag)
+        for part, texts in _slices(batches, text):
+            pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+            if reader is not None and any(texts):
+                sums = reader.marginals(texts)
+                for i, t in enumerate(texts):
+                    if t and any(c.isalpha() for w in t for c in w):
+                        best = int(sums[i].argmax())
+                        pred[i], score[i] = reader.model.languages[best], min(1.0, sums[i, best] / len(t))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred), pa.array(score)], ["row", "lang_pred", "score"])
+
+    return run
+
+
+def _labeller(shared, tag: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _reader(shared, tag)
+        for part, texts in _slices(batches, None):
+            if reader is None or not any(texts):
+                continue
+            g = reader.marginals(texts, each=True)
+            best = g.argmax(axis=1)
+            counts = np.array([len(t) for t in texts])
+            at = np.repeat(np.arange(len(texts)), counts)
+            nth = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+            columns = [part.column(0).take(pa.array(at)), pa.array(nth), pa.array([w for t in texts for w in t], pa.string()), pa.array(reader.model.languages).take(pa.array(best)), pa.array(g[np.arange(len(g)), best])]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "nth", "word", "lang", "score"])
 
     return run
 
 
-def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """row (a struct of docs' own columns), lang_pred, score."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+    """row (a struct of docs' own columns, or of those to keep), lang_pred, score. A text goes to Python once, and comes back only in a row."""
+    own = list(docs.columns if keep is None else keep)
+    row = F.struct(*[F.col(f"`{c}`") for c in own]).alias("row")
+    inside = text_col in own
+    rows = docs.select(row) if inside else docs.select(row, F.col(f"`{text_col}`").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = StructType([rows.schema["row"]]).add("lang_pred", StringType()).add("score", DoubleType())
-    return rows.mapInArrow(_predictor(shared, uuid.uuid4().hex), kind)
+    return rows.mapInArrow(_predictor(shared, uuid.uuid4().hex, text_col if inside else None), kind)
+
+
+def label_words(docs: DataFrame, model: Model | None, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """One row per word: row (a struct of the columns to keep), nth from 0, word, lang and score, its marginal. Texts without words give no row."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kind = StructType([rows.schema["row"]]).add("nth", LongType()).add("word", StringType()).add("lang", StringType()).add("score", DoubleType())
+    return rows.mapInArrow(_labeller(shared, uuid.uuid4().hex), kind)
 
 
 def query(docs: DataFrame) -> DataFrame:
-    model = train(docs)
-    found = identify(docs.select("doc_id", "text"), model)
+    found = identify(docs, train(docs), keep=["doc_id"])
     return found.select(F.col("row.doc_id").alias("doc_id"), held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
 
 
