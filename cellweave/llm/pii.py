@@ -6,12 +6,15 @@ colon-separated IP addresses, cards with other separators, phone numbers without
 sign. Labelers vote on every proposed span, base or not: the base pattern, a gazetteer
 (domains, issuers, country and area codes, routable networks), the words just before
 it, its neighbours, and its digits. Expectation-maximisation over the counts of vote
-patterns estimates each labeler's reliability without labels, and a logistic span
-classifier is trained on the resulting posteriors; spans it accepts are added.
+patterns estimates each labeler's reliability without labels. A logistic span classifier
+is trained on the posteriors, from features of its own: the span's length, digits and
+separators, what stands on either side, and the word before; spans it accepts are added.
 
 Everything about a document is computed in its own row, by built-in expressions: texts
-are not shuffled. What reaches the driver are the counts of vote patterns, of which
-there are at most ``len(KINDS) * 3 ** 5 * 3``.
+are not shuffled. The work is in proportion to a text's length and, but for running sums
+in blocks and a binary search, to the number of its matches. What reaches the driver are
+counts of vote patterns, at most ``len(KINDS) * 2 * 3 ** 4``, and of feature signatures,
+at most ``len(KINDS) * 6 * 6 * 4 * 4 * 4 * 3``.
 
 Defined cases: a null text counts as empty; ids pass through as they are, null or
 repeated; an empty table gives an empty table. Offsets are code points, ends exclusive.
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,12 +92,39 @@ def _found(text: Column, pattern: str) -> tuple[Column, Column]:
     return hits, F.when(F.size(hits) > 0, F.split(text, pattern, -1)).otherwise(F.array(F.lit("")))
 
 
+#: Matches whose running sum is carried at once.
+RUN = 256
+
+
+def _places(hits: Column, gaps: Column) -> Column:
+    """Before each match, the code points of all matches and gaps before the gap in front of it: running sums, block by block. There may be one entry more than matches."""
+    n = F.size(hits)
+    part = lambda xs, b: F.slice(xs, b * RUN + 1, F.lit(RUN))
+    steps = lambda b: F.zip_with(part(hits, b), part(gaps, b), lambda m, g: F.length(m) + F.length(g))
+    blocks = F.when(n == 0, F.array().cast("array<array<int>>")).otherwise(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / RUN).cast("int")), steps))
+    last = lambda xs: F.element_at(xs, -1)
+    summed = lambda block, begin: F.aggregate(block, F.array(begin), lambda xs, x: F.concat(xs, F.array(last(xs) + x)))
+    sums = F.aggregate(blocks, F.array(F.array(F.lit(0))), lambda done, block: F.concat(done, F.array(summed(block, last(last(done))))))
+    return F.flatten(F.transform(F.slice(sums, F.lit(2), F.size(blocks)), lambda xs: F.slice(xs, F.lit(1), F.size(xs) - 1)))
+
+
 def _spans(hits: Column, gaps: Column, make) -> Column:
     """An array of make(match, start, end, text before, text after)."""
-    lens, rests = F.transform(hits, F.length), F.transform(gaps, F.length)
-    add = lambda xs, n: F.aggregate(F.slice(xs, F.lit(1), n), F.lit(0), lambda a, x: a + x)
-    start = lambda i: add(rests, i + 1) + add(lens, i)
-    return F.transform(hits, lambda m, i: make(m, start(i), start(i) + F.length(m), F.get(gaps, i), F.get(gaps, i + 1)))
+    placed = F.slice(F.zip_with(hits, _places(hits, gaps), lambda m, p: F.struct(m.alias("m"), p.alias("p"))), F.lit(1), F.size(hits))
+
+    def one(z: Column, i: Column) -> Column:
+        start = z["p"] + F.length(F.get(gaps, i))
+        return make(z["m"], start, start + F.length(z["m"]), F.get(gaps, i), F.get(gaps, i + 1))
+
+    return F.transform(placed, one)
+
+
+def _meets(span: Column, others: Column) -> Column:
+    """Whether span overlaps one of others, which are in order and apart: a binary search for the last that begins before its end."""
+    bits = F.array(*[F.lit(1 << k) for k in range(24, -1, -1)])
+    fits = lambda n: (n <= F.size(others)) & (F.get(others, n - 1)["start"] < span["end"])
+    n = F.aggregate(bits, F.lit(0), lambda at, bit: F.when(fits(at + bit), at + bit).otherwise(at))
+    return F.coalesce(F.get(others, n - 1)["end"] > span["start"], F.lit(False))
 
 
 def _vote(yes: Column, no: Column | None = None) -> Column:
@@ -125,35 +156,49 @@ def _shape(kind: str, m: Column) -> Column:
 
 
 def _key(kind: str, base: bool, m: Column, before: Column, after: Column) -> Column:
-    """The votes on a span and its length class, as one string."""
+    """The votes on a span, as one string."""
     context = _vote(F.right(before, F.lit(CONTEXT_CHARS)).rlike(CONTEXT[kind]))
     alone = _vote(~F.right(before, F.lit(1)).rlike(r"[\p{L}\p{N}_]") & ~F.left(F.coalesce(after, F.lit("")), F.lit(1)).rlike(r"[\p{L}\p{N}_]"), F.lit(True))
-    size = F.when(F.length(m) < 12, "s").when(F.length(m) < 24, "m").otherwise("l")
-    return F.concat(F.lit(kind + ":" + ("1" if base else "0")), _gazetteer(kind, m), context, alone, _shape(kind, m), size)
+    return F.concat(F.lit(kind + ":" + ("1" if base else "0")), _gazetteer(kind, m), context, alone, _shape(kind, m))
 
 
-_SPAN = "struct<start:int,kind:int,end:int,key:string>"
+def _class(value: Column, bounds: tuple[int, ...]) -> Column:
+    """The number of bounds that value reaches, as a digit."""
+    return sum((value >= b).cast("int") for b in bounds).cast("string")
+
+
+def _signature(kind: str, m: Column, before: Column, after: Column) -> Column:
+    """The classifier's features of a span and its surroundings, a character each: length, digits, separators, what stands before and after, and the word before."""
+    beside = lambda c: F.when(c.rlike(r"\p{L}"), "l").when(c.rlike(r"\p{N}"), "d").when(c.rlike(r"[^\s]"), "p").otherwise("s")
+    marks = F.when(m.rlike(r"[(\[]"), "b").when(m.contains(" "), "s").when(m.rlike(r"[._/:-]"), "p").otherwise("n")
+    near = F.right(before, F.lit(CONTEXT_CHARS))
+    word = F.when(near.rlike(CONTEXT[kind]), "c").when(near.rlike(r"\p{L}"), "w").otherwise("n")
+    parts = [_class(F.length(m), (8, 12, 16, 24, 40)), _class(F.length(_digits(m)), (1, 7, 10, 12, 16)), marks, beside(F.right(before, F.lit(1))), beside(F.left(F.coalesce(after, F.lit("")), F.lit(1))), word]
+    return F.concat(F.lit(kind + ":"), *parts)
 
 
 def proposed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id with the arrays ``base`` and ``more`` of spans (start, kind number, end, votes)."""
+    """doc_id with the arrays ``base`` and ``more`` of spans (start, kind number, end, votes, features)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     cols = []
-    for i, kind in enumerate(KINDS):
+    for kind in KINDS:
         for what, pattern in (("base", BASE[kind]), ("more", WIDER[kind])):
             hits, gaps = _found(text, pattern)
             cols += [hits.alias(f"{what}_{kind}"), gaps.alias(f"{what}_{kind}_gaps")]
     rows = docs.select(F.col(id_col).alias("doc_id"), *cols)
-    out = {}
-    for what in ("base", "more"):
-        parts = []
-        for i, kind in enumerate(KINDS):
-            make = lambda m, s, e, b, a, i=i, kind=kind: F.struct(s.cast("int").alias("start"), F.lit(i).alias("kind"), e.cast("int").alias("end"), F.when(_valid(kind, m) if what == "base" else F.lit(True), _key(kind, what == "base", m, b, a)).alias("key"))  # noqa: E731, B023
-            parts.append(F.filter(_spans(F.col(f"{what}_{kind}"), F.col(f"{what}_{kind}_gaps"), make), lambda s: s["key"].isNotNull()))
-        out[what] = F.concat(*parts)
-    rows = rows.select("doc_id", out["base"].alias("base"), out["more"].alias("more"))
-    clear = F.filter("more", lambda s: ~F.exists(F.col("base"), lambda b: (b["kind"] == s["kind"]) & (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return rows.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(clear).alias("more"))
+    parts = []
+    for i, kind in enumerate(KINDS):
+        for what in ("base", "more"):
+
+            def make(m, s, e, b, a, i=i, kind=kind, base=what == "base"):
+                key = _key(kind, base, m, b, a)
+                return F.struct(s.cast("int").alias("start"), F.lit(i).alias("kind"), e.cast("int").alias("end"), (F.when(_valid(kind, m), key) if base else key).alias("key"), _signature(kind, m, b, a).alias("sig"))
+
+            parts.append(F.filter(_spans(F.col(f"{what}_{kind}"), F.col(f"{what}_{kind}_gaps"), make), lambda s: s["key"].isNotNull()).alias(f"{what}_{kind}"))
+    rows = rows.select("doc_id", *parts)
+    apart = lambda others: lambda s: ~_meets(s, others)
+    clear = [F.filter(f"more_{kind}", apart(F.col(f"base_{kind}"))) for kind in KINDS]
+    return rows.select("doc_id", F.array_sort(F.concat(*[f"base_{kind}" for kind in KINDS])).alias("base"), F.array_sort(F.concat(*clear)).alias("more"))
 
 
 def _posteriors(counts: dict[str, int]) -> dict[str, float]:
@@ -161,7 +206,7 @@ def _posteriors(counts: dict[str, int]) -> dict[str, float]:
     out = {}
     for kind in KINDS:
         mine = sorted((k, n) for k, n in counts.items() if k.split(":")[0] == kind)
-        votes = [k.split(":")[1][:5] for k, _ in mine]
+        votes = [k.split(":")[1] for k, _ in mine]
         post = [0.9 if v[0] == "1" else (0.6 if v[1:].count("1") > v[1:].count("-") + 1 else 0.2) for v in votes]
         for _ in range(ROUNDS if mine else 0):
             weight = [sum(n * (p if c else 1 - p) for (_, n), p in zip(mine, post, strict=True)) for c in (0, 1)]
@@ -184,41 +229,47 @@ def _posteriors(counts: dict[str, int]) -> dict[str, float]:
     return out
 
 
-def _parts(key: str) -> list[str]:
-    kind, votes = key.split(":")
-    return [f"{kind}|", *(f"{j}{v}" for j, v in enumerate(votes)), *(f"{kind}|{j}{v}" for j, v in enumerate(votes) if j != 0)]
+def _parts(signature: str) -> list[str]:
+    """The classifier's features: a constant and each character at its place, by kind."""
+    kind, classes = signature.split(":")
+    return [kind, *(f"{kind}{j}{c}" for j, c in enumerate(classes))]
 
 
-def classifier(counts: dict[str, int]) -> dict[str, float]:
-    """Weights of a logistic span classifier, trained on the posteriors of the vote patterns."""
-    target = _posteriors(counts)
-    rows = [(_parts(k), target[k], math.log1p(n)) for k, n in sorted(counts.items())]
-    names = sorted({f for fs, _, _ in rows for f in fs})
-    w, squares, total = dict.fromkeys(names, 0.0), dict.fromkeys(names, 1e-8), sum(n for _, _, n in rows)
-    for _ in range(STEPS):
-        grad = {f: -RIDGE * w[f] for f in names}
-        for fs, y, n in rows:
-            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(w[f] for f in fs)))))
-            for f in fs:
-                grad[f] += n * (y - p) / total
-        for f in names:
-            squares[f] += grad[f] ** 2
-            w[f] += RATE * grad[f] / math.sqrt(squares[f])
-    return w
+def classifier(rows: list[tuple[str, int, float]]) -> dict[str, float]:
+    """Weights of a logistic span classifier, trained on (signature, spans, sum of their posteriors)."""
+    data = [(_parts(sig), post / n, math.log1p(n)) for sig, n, post in sorted(rows)]
+    names = sorted({f for fs, _, _ in data for f in fs})
+    number = {f: i for i, f in enumerate(names)}
+    at = np.array([[number[f] for f in fs] for fs, _, _ in data], np.int64).reshape(len(data), -1)
+    y, n = np.array([d[1] for d in data]), np.array([d[2] for d in data])
+    w, squares = np.zeros(len(names)), np.full(len(names), 1e-8)
+    for _ in range(STEPS if len(data) else 0):
+        p = 1 / (1 + np.exp(-np.clip(w[at].sum(axis=1), -30, 30)))
+        error = n * (y - p) / n.sum()
+        grad = np.bincount(at.ravel(), np.repeat(error, at.shape[1]), len(names)) - RIDGE * w
+        squares += grad**2
+        w += RATE * grad / np.sqrt(squares)
+    return dict(zip(names, w.tolist(), strict=True))
 
 
-def accepted(counts: dict[str, int]) -> list[str]:
-    """The vote patterns whose spans the classifier takes."""
-    w = classifier(counts)
-    return sorted(k for k in counts if sum(w[f] for f in _parts(k)) >= math.log(ACCEPT / (1 - ACCEPT)))
+def accepted(rows: list[tuple[str, int, float]]) -> list[str]:
+    """The signatures whose spans the classifier takes."""
+    w = classifier(rows)
+    return sorted(sig for sig, _, _ in rows if sum(w[f] for f in _parts(sig)) >= math.log(ACCEPT / (1 - ACCEPT)))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, base and spans: arrays of (start, kind number, end, votes) in order."""
+    """doc_id, base and spans: arrays of (start, kind number, end, votes, features) in order."""
     rows = checkpoint(proposed(docs, id_col, text_col))  # spans alone: the texts are read once
-    counts = rows.select(F.explode(F.concat("base", "more")).alias("s")).groupBy("s.key").count()
-    good = accepted({r["key"]: r["count"] for r in counts.collect()})
-    added = F.filter("more", lambda s: s["key"].isin(good)) if good else F.filter("more", lambda s: F.lit(False))
+    spans = rows.select(F.explode(F.concat("base", "more")).alias("s")).groupBy("s.key", "s.sig").count()
+    patterns = spans.groupBy("key").agg(F.sum("count").alias("n"))
+    posterior = _posteriors({r["key"]: r["n"] for r in patterns.collect()})
+    if not posterior:
+        return rows.select("doc_id", "base", F.col("base").alias("spans"))
+    learned = F.element_at(F.create_map(*[F.lit(x) for kv in sorted(posterior.items()) for x in kv]), F.col("key"))
+    signatures = spans.groupBy("sig").agg(F.sum("count").alias("n"), F.sum(F.col("count") * learned).alias("post"))
+    good = accepted([(r["sig"], r["n"], r["post"]) for r in signatures.collect()])
+    added = F.filter("more", lambda s: s["sig"].isin(good)) if good else F.filter("more", lambda s: F.lit(False))
     return rows.select("doc_id", "base", F.array_sort(F.concat("base", added)).alias("spans"))
 
 
