@@ -7,8 +7,8 @@ fraction of an epoch that is left is a seeded sample of its documents: the first
 in the order of a seeded hash, and one more document that best fills the gap.
 
 All sums are taken over hash bins of each source, so no task holds a source: a
-running sum over BINS rows finds the bin in which the sample ends, and only that
-bin's documents are put in order.
+running sum over bins finds the bin in which the sample ends, and only that bin's
+documents are put in order. The number of bins follows the number of rows.
 
 Defined cases: a null text has size 0; null is a source of its own, after all others;
 rows with the same id and text are taken alike; an empty table gives an empty table.
@@ -16,6 +16,7 @@ rows with the same id and text are taken alike; an empty table gives an empty ta
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -27,8 +28,8 @@ from cellweave.util import checkpoint
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = 17
-#: Hexadecimal digits of a hash that name a bin: 4096 bins.
-DIGITS = 3
+#: Rows of a bin, about; bins are named by as many hexadecimal digits of a hash as that takes.
+BIN = 1024
 
 
 def n_words(text: Column) -> Column:
@@ -65,7 +66,9 @@ def _keys(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: in
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """One row per row of docs: doc_id, source, content, place, size, source_size, target, times."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *_keys(docs, id_col, text_col, source_col, seed), n_words(F.col(text_col)).alias("size"))
-    rows = checkpoint(rows.withColumn("bin", F.substring("place", 1, DIGITS)))
+    rows = checkpoint(rows)
+    digits = max(1, math.ceil(math.log(max(1, rows.count() / BIN), 16)))
+    rows = rows.withColumn("bin", F.substring("place", 1, digits))
     bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     by_source = targets(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, max_epochs)
     same = lambda a, b, *more: F.expr(" and ".join([f"{a}.source <=> {b}.source", *(f"{a}.{c} = {b}.{c}" for c in more)]))
