@@ -123,7 +123,9 @@ _TRIES: dict[str, Trie] = {}
 
 def _counter(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = _TRIES.setdefault(vocabulary, Trie(*pieces(vocabulary)))
+        if vocabulary not in _TRIES:
+            _TRIES[vocabulary] = Trie(*pieces(vocabulary))
+        trie = _TRIES[vocabulary]
         for batch in batches:
             words, tokens = [], []
             for text in batch.column(1):
