@@ -13,13 +13,14 @@ A dense group stays in one shard. One that is too large for a task takes no part
 the search: its vectors are compared with each other and with whatever else of their
 label lies near enough, block by block, and only counts and a spanning set leave a task.
 
-Equal vectors are merged first and counted with multiplicity. Links within a shard are
-counted where they are found; only a spanning set of them, and links across shards,
-leave the task.
+Equal vectors of a label are merged first, under a number of their own, and counted with
+multiplicity. Links within a shard are kept as bits, a row for each query, and counted
+where they are found; only a spanning set of them, and links across shards, leave the task.
 
 Defined cases: a null label, and a null, empty, zero or non-finite vector or one with a
-null component, link with nothing and are kept; a row with a null id links with
-nothing and has a null component; rows that share an id are one vector in the links;
+null component, link with nothing and are kept; a row with a null id links with nothing
+and has a null component; rows that share id, label and vector are one vector; rows that
+share an id alone are vectors of their own, each with its own links, in one component;
 vectors of different lengths never link; an empty table gives an empty table.
 """
 
@@ -34,14 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from cellweave.llm.skew import dealt, hot_keys, repeated
 from cellweave.operators.components import connected_components
 from cellweave.util import checkpoint
 
 THRESHOLD = 0.98
 #: Vectors of a shard at most; centres of one split; a second shard within MARGIN of the best one's cosine.
 SHARD, CENTRES, MARGIN, LEVELS = 2048, 64, 0.12, 8
-#: Centres as near to each other as this are one, so that a dense group stays together; a shard with one centre isn't split further. One task holds DENSE vectors of a group, and in a bucket of more, near centres are one only where a share LINKED of their pairs link.
-CLOSE, DENSE, WHOLE, LINKED = 0.9, 1 << 15, "!", 1 / 16
+#: Centres as near to each other as this are one, so that a dense group stays together; a shard with one centre isn't split further, nor one that LEVELS splits have left too large. One task holds DENSE vectors of a group, and in a bucket of more, near centres are one only where a share LINKED of their pairs link.
+CLOSE, DENSE, WHOLE, LINKED = 0.9, 1 << 13, "!", 1 / 16
 #: Rows that one task deals to centres.
 SLICE = 20000
 #: Candidates, far candidates, kept neighbours, and the slack of robust pruning.
@@ -49,7 +51,8 @@ NEAR, FAR, DEGREE, ALPHA = 48, 16, 24, 1.2
 BEAM = 32
 #: Queries of the audit, the recall it asks for, how often the beam is doubled for it, and the recall below which there is no result.
 AUDIT, RECALL, WIDENINGS, REFUSED = 64, 0.97, 2, 0.9
-BLOCK = 256
+#: Queries searched, and pairs verified, at once.
+BLOCK, PAIRS = 256, 1 << 16
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -119,7 +122,10 @@ def _dealer(threshold: float):
 
 
 def shards(reps: DataFrame, limit: int = SHARD, threshold: float = THRESHOLD) -> DataFrame:
-    """bucket, id, vec, main, mult: each vector in its main shard and perhaps others. Only buckets over limit are split, and no dense group is."""
+    """bucket, id, vec, main, mult: each vector in its main shard and perhaps others. Only buckets over limit are split, and no dense group is.
+
+    A bucket that ends with WHOLE has stayed over limit; what is over DENSE is compared block by block.
+    """
     cols = ["bucket", "id", "vec", "main", "mult"]
     members = reps.withColumn("main", F.lit(True)).select(cols)
     done = None
@@ -142,6 +148,10 @@ def shards(reps: DataFrame, limit: int = SHARD, threshold: float = THRESHOLD) ->
         dealt = both.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "is_vector", "id").mapInArrow(_dealer(threshold), "bucket string, id long, vec array<double>, main boolean, mult long")
         # A vector may come to a shard from two others of the level above.
         members = checkpoint(dealt.groupBy("bucket", "id").agg(F.first("vec").alias("vec"), F.max("main").alias("main"), F.first("mult").alias("mult")))
+    else:
+        size = members.groupBy("bucket").agg(F.count("*").alias("n"))
+        left = checkpoint(size.filter((F.col("n") > limit) & ~F.col("bucket").endswith(WHOLE)).select("bucket", F.lit(WHOLE).alias("end")))
+        members = members.join(left, "bucket", "left").withColumn("bucket", F.concat("bucket", F.coalesce("end", F.lit("")))).select(cols)
     return members if done is None else done.unionByName(members)
 
 
@@ -245,6 +255,28 @@ class _Search:
         return node, active
 
 
+def _true(exact: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of positions link, in double precision, a bounded number at a time."""
+    out = np.empty(len(x), bool)
+    for k in range(0, len(x), PAIRS):
+        out[k : k + PAIRS] = np.einsum("nd,nd->n", exact[x[k : k + PAIRS]], exact[y[k : k + PAIRS]]) >= threshold
+    return out
+
+
+def _spanning(hits: np.ndarray, low: int, row: int, comp: np.ndarray) -> list[tuple[int, int]]:
+    """Of the links of rows from ``row`` on with columns from ``low`` on, those that join components; comp is brought up to date."""
+    join = []
+    for i in range(len(hits)):
+        y = np.flatnonzero(hits[i]) + low
+        other = comp[y]
+        if (other == comp[row + i]).all():
+            continue
+        parts, at = np.unique(other, return_index=True)
+        join += [(row + i, j) for j, part in zip(y[at], parts, strict=True) if part != comp[row + i]]
+        comp[np.isin(comp, parts)] = comp[row + i]
+    return join
+
+
 def _searcher(threshold: float, beam: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         """Rows (a, b, n): n links of a that were counted here, or, with n = -1, a link across shards, or, with n = 0, a link that joins components."""
@@ -263,35 +295,33 @@ def _searcher(threshold: float, beam: int):
             table[i, : len(spot)] = spot
         entry = int(np.argmax(units[:own] @ units[:own].mean(axis=0)))
         search = _Search(units, table, entry, beam)
-        queries, pairs = np.flatnonzero(main), []
-        for a in range(0, len(queries), BLOCK):
+        queries, across = np.flatnonzero(main), []
+        n = len(queries)
+        place = np.full(len(ids), -1)
+        place[queries] = np.arange(n)
+        found = np.zeros((n, -(-n // 8)), np.uint8)  # a bit for each pair of queries
+        for a in range(0, n, BLOCK):
             some = queries[a : a + BLOCK]
             r, c = search.run(some, threshold - 1e-4)
-            x, y = some[r], c
-            good = (x != y) & (np.einsum("nd,nd->n", exact[x], exact[y]) >= threshold)
-            pairs.append(np.stack([x[good], y[good]], axis=1))
-        pairs = np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)
-        pairs = np.unique(np.sort(pairs, axis=1), axis=0)  # found from either end
-        x, y = pairs[:, 0], pairs[:, 1]
-        inner = main[x] & main[y]
-        links = np.bincount(x[inner], mult[y[inner]], len(ids)) + np.bincount(y[inner], mult[x[inner]], len(ids))
-        root = np.arange(len(ids))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        join = []
-        for i, j in pairs[inner]:
-            p, q = find(i), find(j)
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                join.append((i, j))
+            good = (some[r] != c) & _true(exact, some[r], c, threshold)
+            r, c = r[good], c[good]
+            inner = main[c]
+            bits = np.zeros((len(some), n), bool)
+            bits[r[inner], place[c[inner]]] = True
+            found[a : a + BLOCK] = np.packbits(bits, axis=1)
+            across.append(np.stack([ids[some[r[~inner]]], ids[c[~inner]]], axis=1))
+        links, comp, join = np.zeros(n, np.int64), np.arange(n), []
+        for a in range(0, n, BLOCK):  # a link may have been found from either end
+            b = min(n, a + BLOCK)
+            hits = np.unpackbits(found[a:b], axis=1, count=n).astype(bool)
+            hits |= np.unpackbits(found[:, a // 8 : -(-b // 8)], axis=1, count=b - a).astype(bool).T
+            links[a:b] = hits @ mult[queries]
+            join += _spanning(hits, 0, a, comp)
         join = np.array(join, np.int64).reshape(-1, 2)
         counted = np.flatnonzero(links > 0)
-        out = [(ids[counted], ids[counted], links[counted].astype(np.int64)), (ids[join[:, 0]], ids[join[:, 1]], np.zeros(len(join), np.int64)), (ids[x[~inner]], ids[y[~inner]], np.full((~inner).sum(), -1))]
+        across = np.unique(np.sort(np.concatenate(across), axis=1), axis=0) if across else np.empty((0, 2), np.int64)
+        mine = ids[queries]
+        out = [(mine[counted], mine[counted], links[counted]), (mine[join[:, 0]], mine[join[:, 1]], np.zeros(len(join), np.int64)), (across[:, 0], across[:, 1], np.full(len(across), -1))]
         a, b, n = (np.concatenate([o[k] for o in out]) for k in range(3))
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "n": n})
 
@@ -331,21 +361,12 @@ def _comparer(threshold: float):
             sims = units[a:b] @ units[low:].T
             hits = sims >= threshold
             r, c = np.nonzero(np.abs(sims - threshold) < 1e-4)
-            for k in range(0, len(r), 1 << 16):
-                p, q = r[k : k + (1 << 16)], c[k : k + (1 << 16)]
-                hits[p, q] = np.einsum("nd,nd->n", exact[a + p], exact[low + q]) >= threshold
+            hits[r, c] = _true(exact, a + r, low + c, threshold)
             if first:
                 hits[np.arange(b - a), np.arange(a, b)] = False
             links[a:b] += hits @ mult[low:]
             links[home:] += mult[a:b] @ hits[:, home - low :]
-            for i in range(b - a):
-                y = np.flatnonzero(hits[i]) + low
-                other = comp[y]
-                if (other == comp[a + i]).all():
-                    continue
-                parts, at = np.unique(other, return_index=True)
-                join += [(a + i, j) for j, part in zip(y[at], parts, strict=True) if part != comp[a + i]]
-                comp[np.isin(comp, parts)] = comp[a + i]
+            join += _spanning(hits, low, a, comp)
         join = np.array(join, np.int64).reshape(-1, 2)
         counted = np.flatnonzero(links > 0)
         x, y = ids[np.concatenate([counted, join[:, 0]])], ids[np.concatenate([counted, join[:, 1]])]
@@ -413,10 +434,11 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     sound = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     sound = F.coalesce(F.col("label").isNotNull() & F.col("id").isNotNull() & sound, F.lit(False))
     marked = rows.select("id", F.when(sound, F.concat(F.size("vec"), F.lit("/"), "label", F.lit("/"))).alias("bucket"), F.when(sound, F.col("vec")).alias("vec"))
-    # An id in several rows is one vector: the least of its vectors stands for it.
-    merged = checkpoint(marked.filter("bucket is not null").groupBy("bucket", "vec").agg(F.min("id").alias("id"), F.count_distinct("id").alias("mult")))
-    reps = merged.groupBy("id").agg(F.min(F.struct("bucket", "vec", "mult")).alias("s")).select("id", "s.*")
-    reps = checkpoint(reps)
+    marked = marked.withColumn("hash", F.xxhash64("bucket", "vec"))
+    # Each distinct vector has a number of its own, fixed by the checkpoint; the least of its ids names it in the end.
+    merged = marked.filter("bucket is not null").groupBy("bucket", "vec", "hash").agg(F.min("id").alias("least"), F.count_distinct("id").alias("mult"), F.count("*").alias("rows"))
+    merged = checkpoint(merged).withColumn("id", F.monotonically_increasing_id())
+    reps = merged.select("id", "bucket", "vec", "mult")
     members = checkpoint(shards(reps.select("bucket", "id", "vec", "mult"), limit, threshold))
     huge = checkpoint(members.groupBy("bucket").agg(F.count("*").alias("size")).filter(F.col("bucket").endswith(WHOLE) & (F.col("size") > DENSE)))
     dense = None
@@ -445,11 +467,34 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "em
             break
     if recall < REFUSED:
         raise RuntimeError(f"the audit found {recall:.3f} of the links, less than {REFUSED}")
-    comps = connected_components(found.filter("n <= 0"), "a", "b")
-    stand = merged.select("bucket", "vec", F.col("id").alias("rep"), "mult")
-    out = marked.join(stand, ["bucket", "vec"], "left")
-    out = out.join(counts, out.rep == counts.id, "left").select(marked["id"], "rep", "mult", counts["n"])
-    out = out.join(comps, out.rep == comps.node, "left")
-    component = F.coalesce("component", "rep", "id")
+    total = merged.agg(F.sum("rows")).first()[0] or 0
+    twins = hot_keys(merged.groupBy("hash").agg(F.sum("rows").alias("rows")), "hash", "rows", total)
+    rows = dealt(marked, twins, "hash", F.col("id")).select(F.col("id").alias("vec_id"), "bucket", "vec", "__salt")
+    rows = rows.join(repeated(merged.select("bucket", "vec", "hash", "id", "mult"), twins, "hash").drop("hash"), ["bucket", "vec", "__salt"], "left")
+    rows = checkpoint(rows.select("vec_id", "id", "mult"))
+    # An id with several vectors: these belong together.
+    shared = rows.filter("id is not null").groupBy("vec_id").agg(F.min("id").alias("v0"), F.max("id").alias("v1")).filter("v0 <> v1").select("vec_id", "v0")
+    ties = rows.join(shared, "vec_id").select(F.col("id").alias("a"), F.col("v0").alias("b"))
+    comps = connected_components(found.filter("n <= 0").select("a", "b").unionByName(ties), "a", "b")
+    named = checkpoint(merged.select("id", "least", "rows").join(comps, F.col("id") == F.col("node"), "left").select("id", "least", "rows", F.coalesce("component", "id").alias("comp")))
+    groups = named.groupBy("comp").agg(F.min("least").alias("component_id"), F.count("*").alias("vectors"))
+    large = hot_keys(groups, "comp", "vectors", total)
+    named = dealt(named, large, "comp", F.col("id")).join(repeated(groups.select("comp", "component_id"), large, "comp"), ["comp", "__salt"]).join(counts, "id", "left").select("id", "rows", "component_id", "n")
+    again = hot_keys(named, "id", "rows", total)
+    out = dealt(rows, again, "id", F.col("vec_id")).join(repeated(named.drop("rows"), again, "id"), ["id", "__salt"], "left")
+    component = F.coalesce("component_id", "vec_id")
     n = F.coalesce(F.col("n"), F.lit(0)) + F.coalesce(F.col("mult"), F.lit(1)) - 1
-    return out.select(F.col("id").alias("vec_id"), n.alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), F.lit(float(recall)).alias("audited_recall"))
+    return out.select("vec_id", n.alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"), F.lit(float(recall)).alias("audited_recall"))
+
+
+ORACLE = """
+WITH RECURSIVE v AS (SELECT DISTINCT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) >= 0.98),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+r(node, reach) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.node, l.b FROM r JOIN l ON r.reach = l.a),
+c AS (SELECT node, min(reach) AS c FROM r GROUP BY node)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, coalesce(c, e.vec_id) AS component_id, coalesce(c, e.vec_id) = e.vec_id AS kept, CAST(1 AS DOUBLE) AS audited_recall
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.node = e.vec_id
+"""

@@ -63,6 +63,7 @@ QUERIES |= {
 ORACLES |= {
     "op2_chat_formatting": chat.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op4_embedding_near_dedup": graph_dedup.ORACLE,
     "op6_sharding": sharding.oracle(),
     "op8_mixing": mixing.ORACLE,
     "op10_minhash_near_dedup": minhash.ORACLE,
