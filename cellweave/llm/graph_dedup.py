@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from cellweave.llm.skew import dealt, hot_keys, repeated
 from cellweave.operators.components import connected_components
+from cellweave.skew import dealt, hot_keys, repeated
 from cellweave.util import checkpoint
 
 THRESHOLD = 0.98

@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm.shingles import coefficients, mix, shingle_sets
-from cellweave.llm.skew import SLICE, dealt, having, hot_keys, lacking, repeated
 from cellweave.operators.components import connected_components
+from cellweave.skew import SLICE, dealt, having, hot_keys, lacking, repeated
 from cellweave.util import checkpoint, release
 
 K, B, ROWS = 144, 4, 6
