@@ -209,10 +209,12 @@ def place_in_hulls(points: DataFrame, shapes: DataFrame, partition: str = "parti
     n = shapes.count()
     if n > MAX_PARTITIONS:
         raise ValueError(f"over {MAX_PARTITIONS} hulls")
-    one = shapes.agg(F.array_sort(F.collect_list(F.struct(F.col(partition).alias("id"), "ring", "cx", "cy"))).alias("__h"))
+    ends = [f(F.col(f"ring.{c}")).alias(f"{c}{i}") for c in "xy" for i, f in enumerate((F.array_min, F.array_max))]
+    one = shapes.agg(F.array_sort(F.collect_list(F.struct(F.col(partition).alias("id"), "ring", "cx", "cy", *ends))).alias("__h"))
     rows = points.crossJoin(F.broadcast(one))  # one row, of at most MAX_PARTITIONS hulls
     x, y = F.col("x"), F.col("y")
-    within = F.get(F.filter("__h", lambda h: inside_hull(x, y, h["ring"])), F.lit(0))["id"]
+    boxed = lambda h: (x > h["x0"]) & (x < h["x1"]) & (y > h["y0"]) & (y < h["y1"])
+    within = F.get(F.filter("__h", lambda h: boxed(h) & inside_hull(x, y, h["ring"])), F.lit(0))["id"]
     nearest = F.array_min(F.transform("__h", lambda h: F.struct(((h["cx"] - x) * (h["cx"] - x) + (h["cy"] - y) * (h["cy"] - y)).alias("d"), h["id"].alias("id"))))["id"]
     return rows.withColumn(partition, F.when(x.isNotNull() & y.isNotNull(), F.coalesce(within, nearest))).drop("__h")
 

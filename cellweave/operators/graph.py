@@ -15,7 +15,9 @@ from pyspark.sql.window import Window as W
 from cellweave.functions.scalars import clip, distance
 from cellweave.operators.components import connected_components
 from cellweave.operators.prune import removals
-from cellweave.operators.stats import gene_sets
+from cellweave.operators.scores import cell_scores_relu, component_scores, pair_sums
+from cellweave.operators.stats import gene_sets, on_features
+from cellweave.util import checkpoint
 
 XYZ = ("x", "y", "z")
 
@@ -32,13 +34,14 @@ def _meet(left: DataFrame, right: DataFrame, radius: float, coords: Sequence[str
     return both.withColumn("length", length).filter(F.col("length") <= radius).select("a", "b", "length")
 
 
-def radius_knn(points: DataFrame, k: int, radius: float, coords: Sequence[str] = XYZ, key: str = "transcript_id") -> DataFrame:
+def radius_knn(points: DataFrame, k: int, radius: float, coords: Sequence[str] = XYZ, key: str = "transcript_id", of: DataFrame | None = None) -> DataFrame:
     """Directed edges (src, dst, length) to the k nearest others up to radius away; ties by distance rounded to 6 places go to the smaller id.
 
     Points without coordinates have no edges; one at the same place is a neighbour like any other.
+    Given ``of``, only that table's points have edges, to others of points.
     """
     cols = [F.col(c).cast("double").alias(c) for c in coords]
-    edges = _meet(points.select(F.col(key).alias("a"), *cols), points.select(F.col(key).alias("b"), *cols), radius, coords).filter("a <> b")
+    edges = _meet((points if of is None else of).select(F.col(key).alias("a"), *cols), points.select(F.col(key).alias("b"), *cols), radius, coords).filter("a <> b")
     order = W.partitionBy("a").orderBy(F.round("length", 6), "b")
     return edges.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).select(F.col("a").alias("src"), F.col("b").alias("dst"), "length")
 
@@ -61,7 +64,7 @@ def associate(edges: DataFrame, nodes: DataFrame, ranked: DataFrame, key: str =
     return e.join(kept, ["gene_src", "gene_dst"], "left").fillna(0.0, ["npmi", "cond_prob"]).select("src", "dst", "length", "gene_src", "gene_dst", "npmi", "cond_prob")
 
 
-def prune_edges(edges: DataFrame, gates: DataFrame, distances: tuple[float, float] = (0.5, 1.5), npmi_range: tuple[float, float] = (0.01, 0.2), cond_range: tuple[float, float] = (0.001, 0.2), prune_npmi: float = -0.1) -> DataFrame:
+def prune_edges(edges: DataFrame, gates: DataFrame, distances: tuple[float, float] = (0.5, 1.5), npmi_range: tuple[float, float] = (0.01, 0.1), cond_range: tuple[float, float] = (0.001, 0.01), prune_npmi: float = -0.1) -> DataFrame:
     """Edges that stay, with connect. Strong short ones are marked; unmarked ones go if weak or long.
 
     gates: (gene_i, NPMI_thresh, cond_prob_thresh); the gates of the source's gene apply,
@@ -83,10 +86,25 @@ def component_summary(comps: DataFrame, nodes: DataFrame, key: str = "transcript
     return out.select("component", "n_nodes", F.size("genes").cast("long").alias("n_unique_genes"), "genes", *[f"centroid_{c}" for c in coords], F.col("v.c").alias("assigned_cell_id"), (-F.col("v.n") / F.col("n_nodes")).alias("cell_id_purity"))
 
 
-def unassigned_components(df: DataFrame, npmi: DataFrame, label: str = "cell_id_npmi_cons_p2", unassigned: str = "-1", gene: str = "feature_name", key: str = "transcript_id", coords: Sequence[str] = XYZ, k: int = 8, radius: float = 1.5, min_size: int = 50, threshold: float = -0.1, neighbors=radius_knn) -> DataFrame:
+def scored_components(comps: DataFrame, nodes: DataFrame, npmi: DataFrame, use_relu: bool = True, purity_threshold: float = 0.05, tau: float = 0.05, eps: float = 1e-8, **options) -> DataFrame:
+    """component_summary with purity and conflict, and for use_relu relative_purity, relative_conflict and signal_strength; largest and purest first.
+
+    Scores and n_unique_genes are of the features that npmi knows; 0 where undefined.
+    """
+    own = component_summary(comps, nodes, **options)
+    sets = checkpoint(on_features(own.select(F.col("component").alias("entity"), "genes"), npmi))
+    sums = pair_sums(sets, npmi, purity_threshold, tau)
+    scores = cell_scores_relu(sums, eps, 0.0) if use_relu else component_scores(sums)
+    known = scores.withColumnRenamed("entity", "component").withColumnRenamed("n_genes", "n_unique_genes")
+    out = own.drop("n_unique_genes").join(known, "component").withColumn("n_unique_genes", F.col("n_unique_genes").cast("long"))
+    return out.orderBy(F.desc("n_nodes"), F.desc("purity"), "component")
+
+
+def unassigned_components(df: DataFrame, npmi: DataFrame, label: str = "cell_id_npmi_cons_p2", unassigned: str = "-1", gene: str = "feature_name", key: str = "transcript_id", coords: Sequence[str] = XYZ, k: int = 8, radius: float = 1.5, min_size: int = 50, threshold: float = -0.1, neighbors=radius_knn, pruner=removals) -> DataFrame:
     """Components of the unassigned molecules, pruned once; adds unassigned_comp_id, unassigned_qc_status, unassigned_comp_size, cell_id_final.
 
-    Components are numbered by their smallest molecule. neighbors(points, k, radius, coords, key) gives the edges.
+    Components are numbered by their smallest molecule. neighbors(points, k, radius, coords, key) gives the edges,
+    pruner(sets, npmi, threshold) the (entity, gene) to remove.
     """
     none = F.col(label).isNull() | (F.col(label) == unassigned)
     loose = df.filter(none).select(key, gene, *coords)
@@ -99,7 +117,7 @@ def unassigned_components(df: DataFrame, npmi: DataFrame, label: str = "cell_id_
     numbered = number_rows(sizes, ["__c"], "__i").withColumn("__id", F.concat(F.lit("UNASSIGNED_"), F.col("__i").cast("string"))).drop("__i")
     comp = comp.join(numbered, "__c")
     large = comp.filter(F.col("__n") >= min_size)
-    gone = removals(gene_sets(large, "__id", "__g"), npmi, threshold).select(F.col("entity").alias("__id"), F.col("gene").alias("__g"), F.lit(True).alias("__out"))
+    gone = pruner(gene_sets(large, "__id", "__g"), npmi, threshold).select(F.col("entity").alias("__id"), F.col("gene").alias("__g"), F.lit(True).alias("__out"))
     comp = comp.join(gone, ["__id", "__g"], "left").drop("__g", "__c")
     out = df.join(comp, F.col(key) == F.col("__k"), "left")
     status = F.when(~none, None).when(F.col("__n") < min_size, "drop_small_comp").when(F.col("__out"), "drop_npmi_pruned_gene").otherwise("keep_unassigned_comp")

@@ -10,13 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions.scalars import relu_symmetric
-from cellweave.operators.stats import pairs_of
+from cellweave.operators.stats import with_values
 
 
 def pair_values(sets: DataFrame, npmi: DataFrame, keep: tuple[str, ...] = ("entity",)) -> DataFrame:
     """(entity, npmi) of each observed pair of features of sets (entity, genes, ...)."""
-    pairs = sets.select(*keep, F.explode(pairs_of(F.col("genes"))).alias("p")).select(*keep, F.col("p.i").alias("gene_i"), F.col("p.j").alias("gene_j"))
-    return pairs.join(npmi, ["gene_i", "gene_j"]).select(*keep, "npmi")
+    return with_values(sets, npmi, keep).select(*keep, "npmi")
 
 
 def pair_sums(sets: DataFrame, npmi: DataFrame, purity_threshold: float = 0.05, tau: float = 0.05) -> DataFrame:
@@ -64,6 +63,27 @@ def coherence_relu(sums: DataFrame) -> DataFrame:
     return sums.select("entity", "n_genes", (purity - conflict).alias("C"), purity.alias("purity"), conflict.alias("conflict"))
 
 
+def attach(cells: DataFrame, scores: DataFrame, key: str = "cell_id", columns: dict[str, str] | None = None) -> DataFrame:
+    """cells with the scores of theirs, NULL where there are none; columns maps names in scores (entity, ...) to new ones."""
+    columns = columns or {c: c for c in scores.columns if c != "entity"}
+    side = scores.select(F.col("entity").alias("__entity"), *[F.col(a).alias(b) for a, b in columns.items()])
+    return cells.join(side, F.col(key) == F.col("__entity"), "left").drop("__entity")
+
+
+def score_cells(df: DataFrame, npmi: DataFrame, purity_threshold: float = 0.05, purity_percentile: float = 0.8, conflict_percentile: float = 0.8, **options) -> DataFrame:
+    """(entity, cell_purity, cell_purity_bool, conflict_score, is_conflict) of the cells of a table of molecules; options are those of ``cells``."""
+    s = cell_scores(pair_sums(cells(df, **options), npmi, purity_threshold))
+    s = flag(flag(s, "purity", "cell_purity_bool", purity_percentile), "conflict", "is_conflict", conflict_percentile)
+    return s.select("entity", F.col("purity").alias("cell_purity"), "cell_purity_bool", F.col("conflict").alias("conflict_score"), "is_conflict")
+
+
+def score_cells_relu(df: DataFrame, npmi: DataFrame, tau: float = 0.05, purity_percentile: float = 0.8, conflict_percentile: float = 0.8, eps: float = 1e-8, **options) -> DataFrame:
+    """The same from values beyond tau: (entity, cell_purity_relu, relative_purity, relative_conflict, signal_strength, is_pure_relu, cell_conflict_relu, is_conflict_relu)."""
+    s = cell_scores_relu(pair_sums(cells(df, **options), npmi, tau, tau), eps)
+    s = flag(flag(s, "purity", "is_pure_relu", purity_percentile), "conflict", "is_conflict_relu", conflict_percentile)
+    return s.select("entity", F.col("purity").alias("cell_purity_relu"), "relative_purity", "relative_conflict", "signal_strength", "is_pure_relu", F.col("conflict").alias("cell_conflict_relu"), "is_conflict_relu")
+
+
 def component_scores(sums: DataFrame) -> DataFrame:
     """cell_scores with 0 below two features."""
     return cell_scores(sums).fillna(0.0, ["purity", "conflict"])

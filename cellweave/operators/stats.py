@@ -14,6 +14,7 @@ from pyspark.sql.window import Window as W
 
 from cellweave.functions.labels import is_unassigned
 from cellweave.functions.scalars import clip
+from cellweave.util import checkpoint
 
 
 def quality(df: DataFrame, minimum: float, column: str = "qv", strict: bool = False) -> DataFrame:
@@ -69,6 +70,27 @@ def pairs_of(genes: Column) -> Column:
     return F.flatten(F.transform(genes, later))
 
 
+#: Feature pairs that are broadcast, about 20 MB of them.
+FEW_PAIRS = 1 << 18
+
+
+def with_values(sets: DataFrame, npmi: DataFrame, keep: tuple[str, ...] = ("entity",)) -> DataFrame:
+    """(keep, gene_i, gene_j, npmi) of the pairs of features of each of sets (..., genes) that npmi has.
+
+    npmi is counted first: up to FEW_PAIRS are broadcast, so that an entity's pairs are met
+    where the entity is and no pair, however frequent, is shuffled. Beyond that they are.
+    """
+    side = checkpoint(npmi.select("gene_i", "gene_j", "npmi"))
+    pairs = sets.select(*keep, F.explode(pairs_of(F.col("genes"))).alias("p")).select(*keep, F.col("p.i").alias("gene_i"), F.col("p.j").alias("gene_j"))
+    return pairs.join(F.broadcast(side) if side.count() <= FEW_PAIRS else side, ["gene_i", "gene_j"]).select(*keep, "gene_i", "gene_j", "npmi")
+
+
+def on_features(sets: DataFrame, npmi: DataFrame) -> DataFrame:
+    """sets (..., genes) without the features that npmi doesn't know. A panel of features is one bounded array."""
+    panel = npmi.select(F.explode(F.array("gene_i", "gene_j")).alias("g")).agg(F.collect_set("g").alias("__panel"))
+    return sets.crossJoin(F.broadcast(panel)).withColumn("genes", F.array_sort(F.array_intersect("genes", "__panel"))).drop("__panel")  # one row
+
+
 def npmi(df: DataFrame, context: str = "cell_id", gene: str = "feature_name", min_count: int = 2, count_col: str | None = None, set_neg_one: bool = False, thr: float = 0.05, grid: bool = True) -> DataFrame:
     """Pointwise mutual information of features over contexts, plain and normalised.
 
@@ -112,6 +134,21 @@ def rankings(pairs: DataFrame, min_support: int = 5, npmi_thresh: float = -0.1,
     return pairs.withColumns({"NPMI": v, "cond_prob": cond, "drop": drop}).withColumn("score", F.when(F.col("drop"), 0.0).otherwise(F.pow("NPMI", F.lit(power_npmi)) * F.pow("cond_prob", F.lit(power_cond))))
 
 
+def extremes(pairs: DataFrame, n: int = 10, column: str = "NPMI", largest: bool = True) -> DataFrame:
+    """The n pairs of the largest or smallest value, with place from 1; ties by name."""
+    order = [F.desc(column) if largest else F.asc(column), F.asc("gene_i"), F.asc("gene_j")]
+    some = pairs.filter(F.col(column).isNotNull() & ~F.isnan(column)).orderBy(*order).limit(n)
+    return some.withColumn("place", F.row_number().over(W.orderBy(*order)))
+
+
+def noise_partners(npmi: DataFrame, markers: Iterable[str], low: float = -0.1, high: float = -0.05) -> DataFrame:
+    """(gene): the features, markers aside, that are weakly anti-correlated with a marker, by name."""
+    markers = list(markers)
+    a, b = F.col("gene_i"), F.col("gene_j")
+    weak = npmi.filter((F.col("npmi") > low) & (F.col("npmi") < high) & (a.isin(markers) | b.isin(markers)))
+    return weak.select(F.explode(F.array(a, b)).alias("gene")).filter(~F.col("gene").isin(markers)).distinct().orderBy("gene")
+
+
 def thresholds(ranked: DataFrame, min_support: int = 5, top: int = 4, npmi_range: tuple[float, float] = (0.01, 0.1), cond_range: tuple[float, float] = (0.001, 0.01)) -> DataFrame:
     """(gene_i, NPMI_thresh, cond_prob_thresh): a gene's top-th largest value counted from 0, or its last, clipped."""
     good = ranked.filter(F.col("count_ij") >= min_support)

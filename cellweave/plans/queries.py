@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.functions import labels
-from cellweave.functions.scalars import relu_symmetric, to_number
-from cellweave.operators import geometry, graph, prune, refine, report, scores, stats, stitch
+from cellweave.functions.scalars import point_wkt, relu_symmetric, to_number
+from cellweave.operators import geometry, graph, partition, prune, refine, report, scores, stats, stitch
 from cellweave.operators.components import connected_components
 from cellweave.plans import pipeline
 from cellweave.plans.catalogue import ORACLES, QUERIES, query
@@ -46,8 +46,8 @@ def pairs(spark: SparkSession, sf_dir: str, grid: bool = True) -> DataFrame:
 
 
 def upper(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rounded, so that both engines compare the same numbers with a threshold."""
-    return stats.upper(pairs(spark, sf_dir, grid=False)).withColumns(r9("npmi"))
+    """Rounded, so that both engines compare the same numbers with a threshold; counted once, however often it is used."""
+    return checkpoint(stats.upper(pairs(spark, sf_dir, grid=False)).withColumns(r9("npmi")))
 
 
 def loose(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,6 +241,34 @@ def _(spark, d):
     return scores.flag(scores.flag(s, "purity", "is_pure"), "conflict", "is_conflict").select("entity", "is_pure", "is_conflict")
 
 
+ALL_METRICS = f"WITH {NPMI}, {CELLS}, {SUMS}, p AS (SELECT e, round(n_pos / nullif(kk, 0), 9) AS purity, round(sum_neg / nullif(kk, 0), 9) AS conflict, CASE WHEN kk > 0 THEN rp / kk END AS pr, CASE WHEN kk > 0 THEN rn / kk END AS cr, CASE WHEN kk > 0 THEN rp + rn END AS signal, CASE WHEN rp + rn > 1e-8 THEN rp / (rp + rn) END AS rel_p, CASE WHEN rp + rn > 1e-8 THEN rn / (rp + rn) END AS rel_c FROM s)"
+
+
+def _library(spark, d):
+    return mol(spark, d).groupBy("cell_id").agg(F.count("*").alias("library_size"))
+
+
+@query("cell_metrics", f"{ALL_METRICS} SELECT m.cell_id, library_size, purity AS cell_purity, conflict AS conflict_score FROM (SELECT cell_id, count(*) AS library_size FROM mol GROUP BY 1) m LEFT JOIN p ON p.e = m.cell_id")
+def _(spark, d):
+    s = scores.score_cells(mol(spark, d), upper(spark, d), exclude=("-1",))
+    out = scores.attach(_library(spark, d), s)
+    return out.select("cell_id", "library_size", *[F.round(c, 9).alias(c) for c in ("cell_purity", "conflict_score")])
+
+
+@query("cell_metrics_relu", f"{ALL_METRICS} SELECT m.cell_id, library_size, round(pr, 9) AS cell_purity_relu, round(cr, 9) AS cell_conflict_relu, round(signal, 9) AS signal_strength, round(rel_p, 6) AS relative_purity, round(rel_c, 6) AS relative_conflict FROM (SELECT cell_id, count(*) AS library_size FROM mol GROUP BY 1) m LEFT JOIN p ON p.e = m.cell_id")
+def _(spark, d):
+    s = scores.score_cells_relu(mol(spark, d), upper(spark, d), exclude=("-1",))
+    out = scores.attach(_library(spark, d), s)
+    return out.select("cell_id", "library_size", "cell_purity_relu", "cell_conflict_relu", "signal_strength", "relative_purity", "relative_conflict").withColumns(r9("cell_purity_relu", "cell_conflict_relu", "signal_strength") | r6("relative_purity", "relative_conflict"))
+
+
+@query("quality_summary_relu", f"{ALL_METRICS} SELECT count(*) AS n_entities, " + ", ".join(f"round(avg({c}), 6) AS mean_{m}, round(quantile_cont({c}, 0.8), 6) AS p80_{m}, round(quantile_cont({c}, 0.95), 6) AS p95_{m}" for m, c in (("cell_purity_relu", "pr"), ("cell_conflict_relu", "cr"), ("signal_strength", "signal"), ("relative_purity", "rel_p"))) + " FROM p")
+def _(spark, d):
+    names = ["cell_purity_relu", "cell_conflict_relu", "signal_strength", "relative_purity"]
+    out = report.quality_summary(scores.score_cells_relu(mol(spark, d), upper(spark, d), exclude=("-1",)), names)
+    return out.withColumns(r6(*[f"{k}_{m}" for m in names for k in ("mean", "p80", "p95")]))
+
+
 @query("coherence", (f"WITH {NPMI}, {CELLS}, {SUMS} SELECT e AS entity, round(coalesce(n_pos / nullif(n_seen, 0), 0) - coalesce(sum_neg / nullif(n_neg, 0), 0), 6) AS c, round(coalesce(rp / nullif(n_seen, 0), 0) - coalesce(rn / nullif(n_seen, 0), 0), 6) AS c_relu FROM s"))
 def _(spark, d):
     sums = cell_sums(spark, d)
@@ -363,7 +391,7 @@ def _(spark, d):
 
 @query(
     "pruned_edges",
-    f"""WITH {ASSOC}, t AS (SELECT ea.*, coalesce(greatest(0.01, least(0.2, greatest(0.01, least(0.1, a)))), 0.2) AS tn, coalesce(greatest(0.001, least(0.2, greatest(0.001, least(0.01, b)))), 0.2) AS tc FROM ea LEFT JOIN gates ON gates.gene_i = gene_src),
+    f"""WITH {ASSOC}, t AS (SELECT ea.*, coalesce(greatest(0.01, least(0.1, a)), 0.1) AS tn, coalesce(greatest(0.001, least(0.01, b)), 0.01) AS tc FROM ea LEFT JOIN gates ON gates.gene_i = gene_src),
 f AS (SELECT *, npmi > tn AND cond_prob > tc AND length < 5 AS strong FROM t) SELECT src, dst, npmi, CAST(strong AS INT) AS connect FROM f WHERE strong OR NOT (npmi <= -0.1 OR cond_prob <= 0.001 OR length >= 9)""",
 )
 def _(spark, d):
@@ -390,6 +418,25 @@ def _(spark, d):
     return out.select("component", "n_nodes", "n_unique_genes", "centroid_x", "centroid_y", "assigned_cell_id", "cell_id_purity")
 
 
+COMPONENT_SUMS = f"{NPMI}, {KNN}, {CC}, oc AS (SELECT component, feature_name FROM cc JOIN mol ON node = transcript_id WHERE node IN (SELECT src FROM ue UNION SELECT dst FROM ue)), eg AS (SELECT DISTINCT component AS e, feature_name AS g FROM oc), {SUMS}, nn AS (SELECT component AS e, count(*) AS n_nodes FROM oc GROUP BY 1)"
+
+
+@query(
+    "scored_components",
+    f"""WITH RECURSIVE {COMPONENT_SUMS} SELECT e AS component, n_nodes, k AS n_unique_genes, round(coalesce(rp / nullif(kk, 0), 0), 9) AS purity, round(coalesce(rn / nullif(kk, 0), 0), 9) AS conflict, round(CASE WHEN kk > 0 THEN rp + rn ELSE 0 END, 9) AS signal_strength,
+round(CASE WHEN kk > 0 AND rp + rn > 1e-8 THEN rp / (rp + rn) ELSE 0 END, 6) AS relative_purity, round(CASE WHEN kk > 0 AND rp + rn > 1e-8 THEN rn / (rp + rn) ELSE 0 END, 6) AS relative_conflict FROM s JOIN nn USING (e)""",
+)
+def _(spark, d):
+    out = graph.scored_components(connected_components(knn(spark, d)), loose(spark, d), upper(spark, d))
+    return out.select("component", "n_nodes", "n_unique_genes", "purity", "conflict", "signal_strength", "relative_purity", "relative_conflict").withColumns(r9("purity", "conflict", "signal_strength") | r6("relative_purity", "relative_conflict"))
+
+
+@query("component_purity", f"WITH RECURSIVE {COMPONENT_SUMS} SELECT e AS component, n_nodes, k AS n_unique_genes, round(coalesce(n_pos / nullif(kk, 0), 0), 9) AS purity, round(coalesce(sum_neg / nullif(kk, 0), 0), 9) AS conflict FROM s JOIN nn USING (e) WHERE n_nodes >= 2")
+def _(spark, d):
+    out = graph.scored_components(connected_components(knn(spark, d)), loose(spark, d), upper(spark, d), use_relu=False, min_size=2)
+    return out.select("component", "n_nodes", "n_unique_genes", "purity", "conflict").withColumns(r9("purity", "conflict"))
+
+
 @query(
     "unassigned_components",
     f"""WITH RECURSIVE {NPMI}, {KNN}, {CC}, sz AS (SELECT component, count(*) AS n, row_number() OVER (ORDER BY component) - 1 AS i FROM cc GROUP BY 1),
@@ -419,26 +466,33 @@ def _suppliers(spark, d):
 
 @query(
     "delaunay_2d",
-    """WITH p AS (SELECT CAST(s_suppkey AS BIGINT) AS id, CAST((s_suppkey * 7919) % 1009 AS DOUBLE) AS x, CAST((s_suppkey * s_suppkey * 31 + s_suppkey * 17) % 1013 AS DOUBLE) AS y FROM supplier WHERE s_suppkey <= 60),
+    """WITH p AS (SELECT CAST(s_suppkey AS BIGINT) AS id, CAST((s_suppkey * 7919) % 1009 AS DOUBLE) AS x, CAST((s_suppkey * s_suppkey * 31 + s_suppkey * 17) % 1013 AS DOUBLE) AS y FROM supplier),
 t AS (SELECT a.id AS a, b.id AS b, c.id AS c, (a.x - c.x) AS ax, (a.y - c.y) AS ay, (b.x - c.x) AS bx, (b.y - c.y) AS byy, c.x AS cx, c.y AS cy FROM p a JOIN p b ON a.id < b.id JOIN p c ON b.id < c.id),
 o AS (SELECT *, ax * byy - bx * ay AS det FROM t WHERE abs(ax * byy - bx * ay) > 0),
 u AS (SELECT *, cx + (byy * (ax * ax + ay * ay) - ay * (bx * bx + byy * byy)) / (2 * det) AS ux, cy + (ax * (bx * bx + byy * byy) - bx * (ax * ax + ay * ay)) / (2 * det) AS uy FROM o),
 r AS (SELECT *, (ux - cx) * (ux - cx) + (uy - cy) * (uy - cy) AS rr FROM u), k AS (SELECT a, b, c FROM r WHERE NOT EXISTS (SELECT 1 FROM p WHERE (p.x - ux) * (p.x - ux) + (p.y - uy) * (p.y - uy) < rr * (1 - 1e-9))),
 e AS (SELECT a AS src, b AS dst FROM k UNION SELECT b, c FROM k UNION SELECT a, c FROM k) SELECT src, dst, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 9) AS length FROM e JOIN p a ON a.id = src JOIN p b ON b.id = dst""",
 )
-def _(spark, d):
-    # The SQL tests every triple of points, so this one is held against it on the first 60 ids; delaunay_2d_all takes all.
-    return geometry.delaunay_edges(_suppliers(spark, d).filter("id <= 60"), "id", ("x", "y")).withColumns(r9("length"))
-
-
-@query("delaunay_2d_all")
 def _(spark, d):
     return geometry.delaunay_edges(_suppliers(spark, d), "id", ("x", "y")).withColumns(r9("length"))
 
 
-@query("delaunay_3d")
+@query(
+    "delaunay_3d",
+    """WITH v AS (SELECT vec_id AS id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings),
+n AS (SELECT label, count(*) AS n FROM v GROUP BY 1 HAVING count(*) > 3), p AS (SELECT label, x, y, z, min(id) AS id FROM v JOIN n USING (label) WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL GROUP BY ALL),
+t AS (SELECT a.label, a.id AS a, b.id AS b, c.id AS c, d.id AS d, a.x - d.x AS ax, a.y - d.y AS ay, a.z - d.z AS az, b.x - d.x AS bx, b.y - d.y AS byy, b.z - d.z AS bz, c.x - d.x AS cx, c.y - d.y AS cy, c.z - d.z AS cz, d.x AS dx, d.y AS dy, d.z AS dz
+  FROM p a JOIN p b ON a.label = b.label AND a.id < b.id JOIN p c ON b.label = c.label AND b.id < c.id JOIN p d ON c.label = d.label AND c.id < d.id),
+o AS (SELECT *, ax * (byy * cz - bz * cy) - ay * (bx * cz - bz * cx) + az * (bx * cy - byy * cx) AS det, (ax * ax + ay * ay + az * az) / 2 AS qa, (bx * bx + byy * byy + bz * bz) / 2 AS qb, (cx * cx + cy * cy + cz * cz) / 2 AS qc FROM t),
+u AS (SELECT *, (qa * (byy * cz - bz * cy) - ay * (qb * cz - bz * qc) + az * (qb * cy - byy * qc)) / det AS ux, (ax * (qb * cz - bz * qc) - qa * (bx * cz - bz * cx) + az * (bx * qc - qb * cx)) / det AS uy,
+  (ax * (byy * qc - qb * cy) - ay * (bx * qc - qb * cx) + qa * (bx * cy - byy * cx)) / det AS uz FROM o WHERE det <> 0),
+k AS (SELECT label, a, b, c, d FROM u WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.label = u.label AND (p.x - dx - ux) * (p.x - dx - ux) + (p.y - dy - uy) * (p.y - dy - uy) + (p.z - dz - uz) * (p.z - dz - uz) < (ux * ux + uy * uy + uz * uz) * (1 - 1e-9))),
+e AS (SELECT a AS src, b AS dst FROM k UNION SELECT a, c FROM k UNION SELECT a, d FROM k UNION SELECT b, c FROM k UNION SELECT b, d FROM k UNION SELECT c, d FROM k
+  UNION SELECT p.id, v.id FROM v JOIN p ON v.label = p.label AND v.x = p.x AND v.y = p.y AND v.z = p.z WHERE v.id <> p.id)
+SELECT src, dst, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)), 9) AS length FROM e JOIN v a ON a.id = src JOIN v b ON b.id = dst""",
+)
 def _(spark, d):
-    return geometry.delaunay_edges(_points(spark, d), "id", group="label").withColumns(r9("length"))
+    return geometry.delaunay_edges(_points(spark, d).filter("label is not null"), "id", group="label").withColumns(r9("length"))
 
 
 def _cells(spark, d):
@@ -460,14 +514,49 @@ def _(spark, d):
     return geometry.hulls(geometry.bisect(_cells(spark, d), 8)).select("partition", F.size("ring").alias("corners"), "cx", "cy")
 
 
-@query("chunk_summary")
+CHUNKS = f"""WITH {MOL}, c AS (SELECT cell_id, avg(x) AS x, avg(y) AS y FROM mol WHERE cell_id <> '-1' GROUP BY 1), pc AS (SELECT cell_id, x, y, CASE WHEN x > 50 THEN 1 ELSE 0 END + CASE WHEN y > 250 THEN 2 ELSE 0 END AS p FROM c),
+ed AS (SELECT a.p, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS byy FROM pc a JOIN pc b ON a.p = b.p AND a.cell_id <> b.cell_id WHERE NOT EXISTS (SELECT 1 FROM pc q WHERE q.p = a.p AND q.cell_id NOT IN (a.cell_id, b.cell_id) AND (b.x - a.x) * (q.y - a.y) - (b.y - a.y) * (q.x - a.x) <= 0)),
+hu AS (SELECT p, sum((ax + bx) * (ax * byy - bx * ay)) / (3 * sum(ax * byy - bx * ay)) AS cx, sum((ay + byy) * (ax * byy - bx * ay)) / (3 * sum(ax * byy - bx * ay)) AS cy, count(*) AS corners FROM ed GROUP BY p HAVING count(*) >= 3),
+st AS (SELECT * FROM mol WHERE cell_id = '-1'),
+wi AS (SELECT transcript_id, min(hu.p) AS p FROM st, hu WHERE NOT EXISTS (SELECT 1 FROM ed WHERE ed.p = hu.p AND (bx - ax) * (st.y - ay) - (byy - ay) * (st.x - ax) <= 0) GROUP BY 1),
+nc AS (SELECT transcript_id, arg_min(hu.p, ((cx - st.x) * (cx - st.x) + (cy - st.y) * (cy - st.y), hu.p)) AS p FROM st, hu GROUP BY 1),
+ch AS (SELECT mol.transcript_id, mol.cell_id, coalesce(pc.p, wi.p, nc.p) AS "partition" FROM mol LEFT JOIN pc USING (cell_id) LEFT JOIN wi USING (transcript_id) LEFT JOIN nc USING (transcript_id))"""
+
+
+def _quarters(spark, d):
+    """Cells by quarter of the plane: partitions that SQL can name."""
+    return checkpoint(_cells(spark, d).withColumn("partition", (F.col("x") > 50).cast("int") + 2 * (F.col("y") > 250).cast("int")))
+
+
+def _chunks(spark, d):
+    parts = _quarters(spark, d)
+    return partition.chunk(mol(spark, d), parts, geometry.hulls(parts))
+
+
+@query("chunked_molecules", f'{CHUNKS} SELECT transcript_id, "partition" FROM ch')
 def _(spark, d):
-    parts = checkpoint(geometry.bisect(_cells(spark, d), 8))
-    m = mol(spark, d)
-    known = m.join(parts.select("cell_id", "partition"), "cell_id")
-    stray = geometry.place_in_hulls(m.join(parts.select("cell_id"), "cell_id", "left_anti"), geometry.hulls(parts))
-    both = known.select("cell_id", "partition").unionByName(stray.select("cell_id", "partition"))
-    return both.groupBy("partition").agg(F.count("*").alias("n_transcripts"), F.count_distinct("cell_id").alias("n_cells"))
+    return _chunks(spark, d).select("transcript_id", "partition")
+
+
+@query("chunk_summary", f'{CHUNKS} SELECT "partition", count(*) AS n_transcripts, count(DISTINCT cell_id) AS n_cells FROM ch GROUP BY 1')
+def _(spark, d):
+    return partition.chunk_summary(_chunks(spark, d))
+
+
+@query("graph_partition", "SELECT true AS balanced, true AS no_worse, count(DISTINCT user_id) AS n FROM events WHERE event_id % 10 <> 0")
+def _(spark, d):
+    """Whether partitions on the neighbour graph are within a tenth of their mean size (or one cell) and cut no more edges than bisection alone."""
+    out, cut, first = partition.partition_cells(_cells(spark, d), 4, 5, slack=0.1)
+    sizes = out.groupBy("partition").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.min("n").alias("least"), F.sum("n").alias("n"), F.count("*").alias("parts"))
+    mean = F.col("n") / 4
+    return sizes.select(((F.col("most") <= mean * 1.1 + 1) & (F.col("least") >= mean * 0.9 - 1) & (F.col("parts") == 4)).alias("balanced"), F.lit(cut <= first).alias("no_worse"), "n")
+
+
+@query("unbounded_knn", f"""WITH {MOL}, c AS (SELECT cell_id, avg(x) AS x, avg(y) AS y FROM mol WHERE cell_id <> '-1' GROUP BY 1)
+SELECT a.cell_id AS src, b.cell_id AS dst, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS length FROM c a JOIN c b ON a.cell_id <> b.cell_id
+QUALIFY row_number() OVER (PARTITION BY a.cell_id ORDER BY round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6), b.cell_id) <= 6""")
+def _(spark, d):
+    return partition.knn(_cells(spark, d), 6).withColumns(r6("length"))
 
 
 @query("point_in_hull", f"WITH {MOL} SELECT transcript_id, x > 10 AND x < 40 AND y > 100 AND y < 300 AND x + y / 10 < 60 AS within FROM mol")
@@ -500,21 +589,36 @@ def _near_cells(spark, d):
     return e, met.filter("a < b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
+GAINS = f"""{NEAR_CELLS}, eg AS (SELECT entity_id AS e, unnest(genes) AS g FROM en UNION SELECT DISTINCT src || '|' || dst, g FROM (SELECT src, dst, unnest(genes) AS g FROM ce JOIN en ON entity_id IN (src, dst))), {SUMS},
+c AS (SELECT e, k, coalesce(rp / nullif(n_seen, 0), 0) - coalesce(rn / nullif(n_seen, 0), 0) AS c FROM s),
+dc AS (SELECT src, dst, round(u.c - 1.0 / (a.k + b.k) - greatest(a.c - 1.0 / a.k, b.c - 1.0 / b.k), 9) AS delta_c FROM ce JOIN c u ON u.e = src || '|' || dst JOIN c a ON a.e = src JOIN c b ON b.e = dst)"""
+
+
+@query("delta_c_edges", f"WITH {NPMI}, {GAINS} SELECT src, dst, delta_c FROM dc")
+def _(spark, d):
+    e, near = _near_cells(spark, d)
+    return stitch.gains(near, e, upper(spark, d)).withColumns(r9("delta_c"))
+
+
 @query(
-    "delta_c_edges",
-    (f"""WITH {NPMI}, {NEAR_CELLS}, eg AS (SELECT entity_id AS e, unnest(genes) AS g FROM en UNION SELECT DISTINCT src || '|' || dst, g FROM (SELECT src, dst, unnest(genes) AS g FROM ce JOIN en ON entity_id IN (src, dst))), {SUMS},
-c AS (SELECT e, k, coalesce(rp / nullif(n_seen, 0), 0) - coalesce(rn / nullif(n_seen, 0), 0) AS c FROM s)
-SELECT src, dst, round(u.c - 1.0 / (a.k + b.k) - greatest(a.c - 1.0 / a.k, b.c - 1.0 / b.k), 9) AS delta_c FROM ce JOIN c u ON u.e = src || '|' || dst JOIN c a ON a.e = src JOIN c b ON b.e = dst"""),
+    "presence_gains",
+    f"""WITH {NPMI}, {GAINS}, pc AS (SELECT e, k, coalesce(n_pos / nullif(kk, 0), 0) AS pu, coalesce(sum_neg / nullif(kk, 0), 0) AS own, coalesce(sum_neg / nullif(n_neg, 0), 0) AS mean FROM s)
+SELECT src, dst, CASE WHEN a.k = 1 AND b.k = 1 THEN CAST('-inf' AS DOUBLE) ELSE round(u.pu - u.mean - 1.0 / (a.k + b.k) - greatest(a.pu - a.own - 1.0 / a.k, b.pu - b.own - 1.0 / b.k), 9) END AS delta_c FROM ce JOIN pc u ON u.e = src || '|' || dst JOIN pc a ON a.e = src JOIN pc b ON b.e = dst""",
 )
 def _(spark, d):
     e, near = _near_cells(spark, d)
-    return stitch.gains(near, e, upper(spark, d)).withColumns(r9("delta_c"))
+    return stitch.gains_of_presence(near, e, upper(spark, d)).withColumns(r9("delta_c"))
 
 
-@query("stitch_one_shot")
+@query(
+    "stitch_one_shot",
+    f"""WITH RECURSIVE {NPMI}, {GAINS}, good AS (SELECT src AS a, dst AS b, delta_c FROM dc WHERE delta_c >= 0 UNION ALL SELECT dst, src, delta_c FROM dc WHERE delta_c >= 0),
+rc(node, reach) AS (SELECT entity_id, entity_id FROM en UNION SELECT rc.node, good.b FROM rc JOIN good ON rc.reach = good.a)
+SELECT entity_id, (SELECT max(delta_c) FROM good WHERE a = entity_id) AS deltaC_max, min(reach) AS stitched_cc_id FROM rc JOIN en ON node = entity_id GROUP BY entity_id""",
+)
 def _(spark, d):
     e, near = _near_cells(spark, d)
-    gained = stitch.gains(near, e, upper(spark, d))
+    gained = stitch.gains(near, e, upper(spark, d)).withColumns(r9("delta_c"))
     return stitch.stitch_once(e.select("entity_id"), gained, "entity_id").withColumns(r9("deltaC_max"))
 
 
@@ -610,3 +714,92 @@ def _(spark, d):
 @query("noise_pairs", f"WITH {NPMI} SELECT gene_i, gene_j, npmi FROM up WHERE npmi > -0.1 AND npmi < -0.05")
 def _(spark, d):
     return upper(spark, d).filter("npmi > -0.1 and npmi < -0.05")
+
+
+@query("bottom_pairs", f"WITH {NPMI} SELECT gene_i, gene_j, npmi, row_number() OVER (ORDER BY npmi, gene_i, gene_j) AS place FROM up QUALIFY place <= 10")
+def _(spark, d):
+    return stats.extremes(upper(spark, d), 10, "npmi", largest=False)
+
+
+@query("noise_partners", f"WITH {NPMI}, w AS (SELECT gene_i, gene_j FROM up WHERE npmi > -0.1 AND npmi < -0.02 AND (gene_i IN ('click_1', 'view_2') OR gene_j IN ('click_1', 'view_2'))) SELECT DISTINCT gene FROM (SELECT gene_i AS gene FROM w UNION ALL SELECT gene_j FROM w) WHERE gene NOT IN ('click_1', 'view_2')")
+def _(spark, d):
+    return stats.noise_partners(upper(spark, d), ["click_1", "view_2"], -0.1, -0.02)
+
+
+@query("cluster_filter", f"WITH {MOL}, k AS (SELECT transcript_id, feature_name AS cluster FROM mol WHERE NOT contains(feature_name, '_1')) SELECT transcript_id, cluster FROM k WHERE cluster IN (SELECT cluster FROM k GROUP BY 1 HAVING count(*) >= 20)")
+def _(spark, d):
+    rows = mol(spark, d).select("transcript_id", F.col("feature_name").alias("cluster"))
+    bad = [r["cluster"] for r in rows.filter(F.col("cluster").contains("_1")).select("cluster").distinct().collect()]  # of the panel's features
+    return report.clusters(rows, "cluster", bad, 20)
+
+
+@query("annotations", "SELECT c_custkey AS cell_id, n_name AS supervised, r_name AS unsupervised FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey > 4) ON n_nationkey = c_custkey LEFT JOIN region ON r_regionkey = c_custkey")
+def _(spark, d):
+    read = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
+    one = read("nation").filter("n_nationkey > 4").select(F.col("n_nationkey").alias("barcode"), F.col("n_name").alias("supervised"))
+    two = read("region").select(F.col("r_regionkey").alias("barcode"), F.col("r_name").alias("unsupervised"))
+    return report.annotate(read("customer").select(F.col("c_custkey").alias("cell_id")), one, two)
+
+
+def _interactions(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("sender"), (F.col("user_id") % 5).alias("receiver"), F.col("value").alias("p"))
+    return report.interaction_counts(e, alpha=20)
+
+
+@query("interaction_sums", """WITH e AS (SELECT event_type AS s, CAST(user_id % 5 AS VARCHAR) AS r FROM events WHERE value < 20) SELECT "group", CAST(sum(o) AS BIGINT) AS outbound, CAST(sum(i) AS BIGINT) AS inbound FROM (SELECT s AS "group", 1 AS o, 0 AS i FROM e UNION ALL SELECT r, 0, 1 FROM e) GROUP BY 1""")
+def _(spark, d):
+    return report.interaction_sums(_interactions(spark, d))
+
+
+@query("interaction_matrix", "SELECT event_type AS sender, " + ", ".join(f'count(*) FILTER (user_id % 5 = {k}) AS "{k}"' for k in range(5)) + " FROM events WHERE value < 20 GROUP BY 1")
+def _(spark, d):
+    return report.interaction_matrix(_interactions(spark, d))
+
+
+@query("value_frequencies", "SELECT event_type AS value, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY 1")
+def _(spark, d):
+    return report.frequencies(spark.read.parquet(f"{d}/events.parquet"), "event_type")
+
+
+@query("value_spread", "SELECT event_type, max(value) AS largest, round(quantile_cont(value, 0.99), 6) AS percentile FROM events GROUP BY 1")
+def _(spark, d):
+    return report.spread(spark.read.parquet(f"{d}/events.parquet"), "value", 0.99, ["event_type"]).withColumns(r6("percentile"))
+
+
+def _samples(spark, d):
+    rows = mol(spark, d).withColumn("sample", F.concat(F.lit("s"), (F.col("transcript_id") % 3).cast("string")))
+    return rows, rows.filter(~F.col("feature_name").endswith("_3")).select("sample", "feature_name").distinct()
+
+
+@query("sample_quality", f"""WITH {MOL}, m AS (SELECT *, 's' || (transcript_id % 3) AS sample FROM mol), p AS (SELECT DISTINCT sample, feature_name FROM m WHERE NOT ends_with(feature_name, '_3'))
+SELECT m.sample, (SELECT count(*) FROM p WHERE p.sample = m.sample) AS n_genes, count(DISTINCT cell_id) FILTER (cell_id <> '-1') AS n_cells, count(*) AS total_transcripts, count(*) FILTER (x > 30 AND NOT ends_with(feature_name, '_3')) AS kept_transcripts,
+(SELECT count(*) > 0 FROM p WHERE p.sample = m.sample AND feature_name = 'click_1') AS click_1_present, (SELECT count(*) > 0 FROM p WHERE p.sample = m.sample AND feature_name = 'click_3') AS click_3_present FROM m GROUP BY m.sample""")
+def _(spark, d):
+    rows, panel = _samples(spark, d)
+    return report.sample_quality(rows, panel, ["click_1", "click_3"], 30, "x")
+
+
+@query(
+    "nucleus_association",
+    f"""WITH {MOL}, g AS (SELECT * FROM mol WHERE x > 20 AND NOT ends_with(feature_name, '_3') AND cell_id <> '-1' AND transcript_id % 3 <> 0), sz AS (SELECT cell_id, count(*) AS n FROM g GROUP BY 1), b AS (SELECT quantile_cont(n, 0.2) AS lo, quantile_cont(n, 0.8) AS hi FROM sz),
+cg AS (SELECT DISTINCT cell_id AS c, feature_name AS g FROM g WHERE cell_id IN (SELECT cell_id FROM sz, b WHERE n BETWEEN lo AND hi)), t AS (SELECT count(DISTINCT c) AS tc FROM cg), o AS (SELECT g, count(*) AS n FROM cg GROUP BY 1),
+two AS (SELECT a.g AS gene_i, b.g AS gene_j, count(*) AS n FROM cg a JOIN cg b ON a.c = b.c AND a.g < b.g GROUP BY ALL)
+SELECT gene_i, gene_j, two.n AS count_ij, CASE WHEN two.n < tc THEN round(ln((two.n / tc) / ((i.n / tc) * (j.n / tc))) / -ln(two.n / tc), 9) END AS NPMI FROM two JOIN o i ON i.g = gene_i JOIN o j ON j.g = gene_j, t""",
+)
+def _(spark, d):
+    rows = mol(spark, d).withColumn("overlaps_nucleus", (F.col("transcript_id") % 3 != 0).cast("int"))
+    panel = rows.filter(~F.col("feature_name").endswith("_3")).select("feature_name").distinct()
+    out = report.nucleus_association(rows, panel, 20, "x", exclude=("-1",), min_count=1, grid=False)
+    return out.select("gene_i", "gene_j", "count_ij", F.round("NPMI", 9).alias("NPMI"))
+
+
+@query("label_predicates", f"WITH {MOL} SELECT transcript_id, transcript_id % 7 IN (5, 6) AND cell_id <> '-1' AS whole, transcript_id % 7 IN (2, 3) OR (transcript_id % 7 IN (5, 6) AND false) AS part FROM mol")
+def _(spark, d):
+    label = F.col("label")
+    return _labelled(spark, d).select("transcript_id", labels.is_whole_cell(label).alias("whole"), labels.is_partial_or_pseudocell(label).alias("part"))
+
+
+@query("wkt_points", f"WITH {MOL} SELECT transcript_id, x, y FROM mol")
+def _(spark, d):
+    text = F.concat(F.lit("POINT ("), F.col("x").cast("string"), F.lit(" "), F.col("y").cast("string"), F.lit(")"))
+    return mol(spark, d).select("transcript_id", text.alias("t")).select("transcript_id", *point_wkt(F.col("t")))
