@@ -2,153 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.operators.delaunay import delaunay, delaunay_edges, simplex_edges, simplices
 from cellweave.util import checkpoint
 
-#: Points that one group's triangulation may have.
-MAX_POINTS = 20000
-_GHOST = -1
-
-
-class _Mesh:
-    """Simplices under insertion of points. Outer simplices join a hull facet to a ghost, and hold what lies beyond the facet."""
-
-    def __init__(self, points: np.ndarray, start: list[int]):
-        self.p, self.d = points, points.shape[1]
-        self.inside = points[start].mean(axis=0)
-        n = 256
-        self.vertex = np.zeros((n, self.d + 1), np.int64)
-        self.centre, self.bound = np.zeros((n, self.d)), np.zeros(n)
-        self.outer, self.live, self.used = np.zeros(n, bool), np.zeros(n, bool), 0
-        self.add(tuple(start))
-        for facet in combinations(start, self.d):
-            self.add((_GHOST, *facet))
-
-    def add(self, simplex: tuple[int, ...]) -> None:
-        if self.used == len(self.live):
-            for name in ("vertex", "centre", "bound", "outer", "live"):
-                a = getattr(self, name)
-                setattr(self, name, np.concatenate([a, np.zeros_like(a)]))
-        i, self.used = self.used, self.used + 1
-        simplex = tuple(sorted(simplex))
-        self.vertex[i], self.live[i], self.outer[i] = simplex, True, simplex[0] == _GHOST
-        if self.outer[i]:
-            v = self.p[list(simplex[1:])]
-            normal = np.linalg.svd(v[1:] - v[0])[2][-1] if self.d > 1 else np.ones(1)
-            if normal @ (self.inside - v[0]) > 0:
-                normal = -normal
-            self.centre[i], self.bound[i] = normal, normal @ v[0]
-        else:
-            v = self.p[list(simplex)]
-            a, b = 2 * (v[1:] - v[0]), ((v[1:] - v[0]) ** 2).sum(axis=1)
-            try:
-                c = np.linalg.solve(a, b)
-            except np.linalg.LinAlgError:
-                c = np.linalg.lstsq(a, b, rcond=None)[0]
-            self.centre[i], self.bound[i] = v[0] + c, c @ c
-
-    def insert(self, k: int, scale: float) -> None:
-        x, n = self.p[k], self.used
-        beyond = self.centre[:n] @ x - self.bound[:n] > 1e-12 * scale
-        near = ((self.centre[:n] - x) ** 2).sum(axis=1) < self.bound[:n] * (1 - 1e-12)
-        hit = np.flatnonzero(self.live[:n] & np.where(self.outer[:n], beyond, near))
-        facets: dict[tuple[int, ...], int] = {}
-        for s in self.vertex[hit].tolist():
-            for f in combinations(s, self.d):
-                facets[f] = facets.get(f, 0) + 1
-        self.live[hit] = False
-        for f, times in facets.items():
-            if times == 1:
-                self.add((*f, k))
-        if self.used > 2048 and self.live[: self.used].sum() * 2 < self.used:
-            keep = np.flatnonzero(self.live[: self.used])
-            for name in ("vertex", "centre", "bound", "outer", "live"):
-                a = getattr(self, name)
-                a[: len(keep)] = a[keep]
-                a[len(keep) :] = 0
-            self.used = len(keep)
-
-
-def simplices(points: np.ndarray) -> np.ndarray:
-    """Delaunay simplices of points (n, d) in general position, by incremental insertion in the order given."""
-    n, d = points.shape
-    start = [0]
-    for i in range(1, n):
-        trial = points[[*start, i]] - points[0]
-        if np.linalg.matrix_rank(trial[1:], tol=1e-9 * max(1e-300, np.abs(points - points[0]).max())) == len(start):
-            start.append(i)
-        if len(start) == d + 1:
-            break
-    if len(start) <= d:
-        raise ValueError("points lie in a subspace")
-    mesh, scale = _Mesh(points, start), float(np.abs(points - points.mean(axis=0)).max())
-    for k in range(n):
-        if k not in start:
-            mesh.insert(k, scale)
-    keep = mesh.live[: mesh.used] & ~mesh.outer[: mesh.used]
-    return mesh.vertex[: mesh.used][keep]
-
-
-def simplex_edges(found: np.ndarray) -> list[tuple[int, int]]:
-    """Sorted distinct undirected edges of simplices (n, k)."""
-    found = np.asarray(found)
-    if found.ndim != 2 or found.shape[1] < 2:
-        raise ValueError("simplices must be a table of at least two vertices a row")
-    pairs = {tuple(sorted((int(s[a]), int(s[b])))) for s in found for a, b in combinations(range(found.shape[1]), 2)}
-    return sorted(pairs)
-
-
-def delaunay(points: np.ndarray) -> list[tuple[int, int]]:
-    """Delaunay edges of points. Points in a line or plane are triangulated there; equal points hang on the first of them."""
-    points = np.asarray(points, float)
-    if len(points) < 2:
-        return []
-    unique, first, back = np.unique(points, axis=0, return_index=True, return_inverse=True)
-    back = back.ravel()
-    extra = [tuple(sorted((int(first[b]), i))) for i, b in enumerate(back) if first[b] != i]
-    centred = unique - unique.mean(axis=0)
-    if len(unique) > 1:
-        _, s, axes = np.linalg.svd(centred, full_matrices=False)
-        rank = int((s > 1e-9 * s[0]).sum())
-        flat = centred if rank == points.shape[1] else centred @ axes[:rank].T
-    else:
-        rank, flat = 0, centred
-    if rank == 0:
-        edges = []
-    elif rank == 1:
-        order = np.argsort(flat[:, 0])
-        edges = [tuple(sorted((int(a), int(b)))) for a, b in zip(order, order[1:], strict=False)]
-    else:
-        edges = simplex_edges(simplices(flat))
-    return sorted({tuple(sorted((int(first[a]), int(first[b])))) for a, b in edges} | set(extra))
-
-
-def delaunay_edges(points: DataFrame, key: str, coords: Sequence[str] = ("x", "y", "z"), group: str | None = None) -> DataFrame:
-    """(src, dst, length) of the Delaunay graph of points with coordinates; of each group by itself where one is named.
-
-    A group is triangulated by one task, so groups are limited to MAX_POINTS: name one, a section or a partition, for larger tables.
-    """
-    cols, d = list(coords), len(coords)
-    rows = points.dropna(subset=cols).select((F.col(group) if group else F.lit(0)).alias("__group"), F.col(key).alias("__key"), *[F.col(c).cast("double") for c in cols])
-    kind = rows.schema["__key"].dataType.simpleString()
-    sizes = rows.groupBy("__group").agg(F.count("*").alias("n")).filter(F.col("n") > MAX_POINTS)
-    if not sizes.isEmpty():
-        raise ValueError(f"a group has over {MAX_POINTS} points; name a finer one")
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("__key", ignore_index=True)
-        p, ids = g[cols].to_numpy(), g["__key"].to_numpy()
-        edges = np.array(delaunay(p) if len(p) > d else [], np.int64).reshape(-1, 2)
-        return pd.DataFrame({"src": ids[edges[:, 0]], "dst": ids[edges[:, 1]], "length": np.sqrt(((p[edges[:, 0]] - p[edges[:, 1]]) ** 2).sum(axis=1))})
-
-    return rows.groupBy("__group").applyInPandas(run, f"src {kind}, dst {kind}, length double")
+__all__ = ["bisect", "convex_hull", "delaunay", "delaunay_edges", "edge_cut", "hulls", "inside_hull", "place_in_hulls", "simplex_edges", "simplices"]
 
 
 def convex_hull(points: np.ndarray) -> np.ndarray:
