@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellweave.llm import language, minhash, mixing, packing, pii, sharding, skew
+from cellweave import skew
+from cellweave.llm import exact_dedup, language, minhash, mixing, packing, pii, sharding
 
 PARTS = ["a.b@c.de", "x@y.z1", "1.2.3.4", "300.1.1.1", "4111 1111 1111 1111", "+1 (212) 555-0100", "212-555-0100", "joe (at) host (dot) com", "\U0001f600", "é"]
 
@@ -257,3 +258,22 @@ def test_repeated_rows_of_one_text_are_one_document(spark):
     docs = spark.createDataFrame([(5, same)] * 60 + [(i, same) for i in range(10, 40)] + [(3, "another text here of seven words")], "doc_id long, text string")
     got = Counter(map(tuple, minhash.near_duplicates(docs).collect()))
     assert got == Counter({(5, 7, 5, True): 60, (3, 2, 3, True): 1} | {(i, 7, 5, False): 1 for i in range(10, 40)})
+
+
+# Exact dedup
+
+
+def test_keep_one_where_digests_clash(spark, odd):
+    weak = lambda t: (F.length(t) % 3).cast("string")
+    got = exact_dedup.keep_one(odd, digest=weak)
+    assert got.columns == odd.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, exact_dedup.keep_one(odd).collect()))
+
+
+def test_a_large_group_is_salted(spark):
+    docs = spark.range(3000).select((3000 - F.col("id")).alias("doc_id"), F.when(F.col("id") % 2 == 0, "one text").otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"), F.lit("x").alias("digest"))
+    out = exact_dedup.assign(docs)
+    big = out.filter("group_size > 1").agg(F.count("*"), F.min("keep_id"), F.max("keep_id"), F.min("group_size"), F.count_if("kept")).first()
+    assert tuple(big) == (1500, 2, 2, 1500, 1) and out.count() == 3000
+    kept = exact_dedup.keep_one(docs)
+    assert kept.columns == docs.columns and kept.count() == 1501 and kept.filter("text = 'one text'").first()["doc_id"] == 2
