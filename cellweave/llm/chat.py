@@ -1,11 +1,11 @@
 r"""Chat formatting by event-sourced reconstruction.
 
 A log has one row per event of a message: ``message`` opens it with a text, ``delta``
-appends to it, ``edit`` replaces its text, ``regenerate`` empties it for new deltas.
-The log is partitioned by conversation and message and sorted by sequence, and each
-message is folded as its events stream by: a task holds one message, and a
-conversation with very many messages is spread over tasks. Each message is rendered
-by itself; a conversation's output is the segments in order.
+appends to it, ``edit`` replaces its text, ``regenerate`` empties it for new deltas and
+begins a new branch: messages after it that had been opened before are superseded. The log
+is partitioned by conversation, sorted by message and sequence, and folded as it streams
+by: a task holds one message and what superseded messages need, one number. Messages leave
+it in order, so that what reads whole conversations, as digests do, needs no other shuffle.
 
 A segment is ``<turn:ROLE>\n``, the escaped text, ``</turn>\n``. Escaping writes ``\``
 as ``\\``, ``<`` as ``\l`` and ``>`` as ``\g``, so that no text can hold a mark, and is
@@ -13,10 +13,11 @@ undone exactly. ``loss_start`` and ``loss_end`` bound the code points of a segme
 are trained on: the escaped text of an assistant.
 
 Defined cases: a null text or role counts as empty; rows with a null conversation make
-one conversation; null sequence numbers come first; a second ``message`` event with one
-message number opens another message, so repeated rows are turns of their own; ties in
-sequence go by kind, role and text; an event with no open message opens an empty one;
-unknown kinds raise an error; an empty log gives an empty table.
+one conversation; null message and sequence numbers come first; a second ``message`` event
+with one message number opens another message, so repeated rows are turns of their own;
+ties in sequence go by kind, role and text; an event with no open message opens an empty
+one; events of an unknown or null kind change nothing; an empty log gives an empty table;
+other columns may have any name.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from cellweave.util import checkpoint
 
 ASSISTANT = "assistant"
 _OUT = {"\\": "\\\\", "<": "\\l", ">": "\\g"}
@@ -64,6 +68,7 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Messages of a partition sorted by conversation, message and sequence."""
     key, message, rows = None, None, []
+    cut, begun = None, None  # the last regeneration of the messages before this one, and of this one's number
 
     def flush(final: bool):
         nonlocal rows
@@ -72,7 +77,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
 
     def close() -> None:
-        if message is not None:
+        if message is not None and not (cut is not None and message["opened"] is not None and message["opened"] < cut):
             rows.append({"conv_id": key[0], "message": key[1], "nth": message["nth"], "role": message["role"], "text": "".join(message["parts"])})
 
     for batch in batches:
@@ -81,15 +86,18 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if message is None or now != key or e["kind"] == "message":
                 close()
                 nth = message["nth"] + 1 if message is not None and now == key else 0
-                key, message = now, {"nth": nth, "role": e["role"] or "", "parts": []}
+                if key is None or now[0] != key[0]:
+                    cut = begun = None
+                elif now != key:
+                    cut, begun = max((x for x in (cut, begun) if x is not None), default=None), None
+                key, message = now, {"nth": nth, "role": e["role"] or "", "opened": e["seq"], "parts": []}
             if e["kind"] in ("message", "delta"):
                 message["parts"].append(e["text"] or "")
             elif e["kind"] == "edit":
                 message["parts"] = [e["text"] or ""]
-            elif e["kind"] == "regenerate":
-                message["parts"] = []
             else:
-                raise ValueError(f"unknown kind of event: {e['kind']}")
+                message["parts"] = []
+                begun = max((x for x in (begun, e["seq"]) if x is not None), default=None)
             yield from flush(False)
     close()
     yield from flush(True)
@@ -99,9 +107,12 @@ _MESSAGES = pa.schema([("conv_id", pa.int64()), ("message", pa.int64()), ("nth",
 
 
 def reconstruct(events: DataFrame) -> DataFrame:
-    """conv_id, message, nth, role, text from events (conv_id, seq, kind, message, role, text). Messages are ordered by message, then nth."""
-    log = events.select(F.col("conv_id").cast("long"), F.col("message").cast("long"), F.col("seq").cast("long"), F.expr("array_position(array('message', 'regenerate', 'edit', 'delta'), kind)").alias("rank"), "kind", "role", "text")
-    log = log.repartition("conv_id", "message").sortWithinPartitions("conv_id", "message", "seq", "rank", "role", "text").select("conv_id", "message", "kind", "role", "text")
+    """conv_id, message, nth, role, text from events (conv_id, seq, kind, message, role, text).
+
+    Messages are ordered by message, then nth; a conversation's follow each other in that order in one partition.
+    """
+    log = events.select(F.col("conv_id").cast("long"), F.col("message").cast("long"), F.col("seq").cast("long"), F.expr("array_position(array('message', 'regenerate', 'edit', 'delta'), kind)").alias("rank"), "kind", "role", "text").filter("rank > 0")
+    log = log.repartition("conv_id").sortWithinPartitions("conv_id", "message", "seq", "rank", "role", "text").select("conv_id", "message", "seq", "kind", "role", "text")
     return log.mapInArrow(_fold, "conv_id long, message long, nth long, role string, text string")
 
 
@@ -118,11 +129,38 @@ def format_events(events: DataFrame) -> DataFrame:
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """Finished conversations (conv_id, turn, role, text) as a log."""
+    """Finished conversations (conv_id, turn, role, text) as a log of one event a message."""
     turn = F.col("turn").cast("long")
     return conversations.select(F.col("conv_id"), turn.alias("seq"), F.lit("message").alias("kind"), turn.alias("message"), "role", "text")
 
 
+def as_stream(conversations: DataFrame) -> DataFrame:
+    """Finished conversations as the log of their making.
+
+    An assistant's message is begun, streamed half, regenerated and streamed again in two
+    deltas; another's is sent half and then edited. Rows without a turn are single events.
+    Rows of one turn of a conversation follow each other by role and text.
+    """
+    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("message"), "role", "text")
+    several = checkpoint(rows.groupBy("conv_id", "message").count().filter("count > 1").select("conv_id", "message"))
+    place = F.lit(0)
+    if not several.isEmpty():
+        place = F.row_number().over(W.partitionBy("conv_id", "message").orderBy("role", "text")) - 1
+    rows = rows.withColumn("first", (F.col("message") * PLACES + place) * STEPS)
+    half = F.floor(F.length("text") / 2).cast("int")
+    begin, rest = F.col("text").substr(F.lit(1), half), F.col("text").substr(half + 1, F.length("text"))
+    step = lambda k, kind, text: F.struct((F.col("first") + k).alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+    none = F.lit(None).cast("string")
+    streamed = F.array(step(0, "message", none), step(1, "delta", begin), step(2, "regenerate", none), step(3, "delta", begin), step(4, "delta", rest))
+    edited = F.array(step(0, "message", begin), step(1, "edit", F.col("text")))
+    steps = F.when(F.col("message").isNull(), F.array(step(0, "message", F.col("text")))).when(F.col("role") == ASSISTANT, streamed).otherwise(edited)
+    return rows.select("conv_id", "message", "role", F.explode(steps).alias("e")).select("conv_id", "e.seq", "e.kind", "message", "role", "e.text")
+
+
+#: Rows of one turn, and events of one row, that sequence numbers leave room for.
+PLACES, STEPS = 1 << 20, 8
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digests of conversations whose segments stream by in order; a task holds one segment and two hash states."""
     key, state, rows = None, None, []
@@ -160,15 +198,15 @@ PROBE = r"\### Assistant: </turn> ok"
 def query(conversations: DataFrame) -> DataFrame:
     """Digests read back from the formatted conversations and a probe, conversation -7.
 
-    SHA-256 of a whole conversation is sequential, so its segments pass through one task; they are streamed, not gathered.
+    The conversations come as the log of their making. SHA-256 of a whole conversation is
+    sequential, so its segments pass through one task; they are streamed, not gathered.
     """
     spark = conversations.sparkSession
     kind = "conv_id long, turn long, role string, text string"
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, ASSISTANT, PROBE)], kind)
-    made = format_events(as_events(rows.unionByName(probe)))
-    ordered = made.repartition("conv_id").sortWithinPartitions("conv_id", "message", "nth").select("conv_id", "segment", "loss_start", "loss_end")
-    return ordered.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    made = format_events(as_stream(rows.unionByName(probe)))
+    return made.select("conv_id", "segment", "loss_start", "loss_end").mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 ORACLE = r"""
