@@ -17,9 +17,12 @@ from cellweave.operators.components import connected_components
 from cellweave.operators.prune import removals
 from cellweave.operators.scores import cell_scores_relu, component_scores, pair_sums
 from cellweave.operators.stats import gene_sets, on_features
+from cellweave.skew import dealt, hot_keys, repeated
 from cellweave.util import checkpoint
 
 XYZ = ("x", "y", "z")
+#: Points of a grid cell from which it counts as crowded.
+CROWD = 2048
 
 
 def _meet(left: DataFrame, right: DataFrame, radius: float, coords: Sequence[str]) -> DataFrame:
@@ -29,7 +32,14 @@ def _meet(left: DataFrame, right: DataFrame, radius: float, coords: Sequence[str
     for i in range(len(coords)):
         near = near.withColumn(f"g{i}", F.explode(F.array(*[F.col(f"g{i}") + d for d in (-1, 0, 1)])))
     far = right.dropna(subset=list(coords)).select("b", *[F.col(c).alias(f"q{i}") for i, c in enumerate(coords)], *at)
-    both = near.join(far, [f"g{i}" for i in range(len(coords))])
+    cell = [f"g{i}" for i in range(len(coords))]
+    # The points of a crowded cell are dealt over salts, and whoever is near it meets each salt.
+    counts = far.groupBy(F.xxhash64(*cell).alias("cell")).agg(F.count("*").alias("rows"))
+    total = counts.agg(F.sum("rows")).first()[0] or 0
+    hot = hot_keys(counts, "cell", "rows", total, CROWD)
+    near = repeated(near.withColumn("cell", F.xxhash64(*cell)), hot, "cell")
+    far = dealt(far.withColumn("cell", F.xxhash64(*cell)), hot, "cell", F.col("b"))
+    both = near.join(far.drop("cell"), [*cell, "__salt"])
     length = distance([F.col(f"p{i}") for i in range(len(coords))], [F.col(f"q{i}") for i in range(len(coords))])
     return both.withColumn("length", length).filter(F.col("length") <= radius).select("a", "b", "length")
 
@@ -38,6 +48,7 @@ def radius_knn(points: DataFrame, k: int, radius: float, coords: Sequence[str] =
     """Directed edges (src, dst, length) to the k nearest others up to radius away; ties by distance rounded to 6 places go to the smaller id.
 
     Points without coordinates have no edges; one at the same place is a neighbour like any other.
+    A point's pairs are cut to k where they are found, before they are shuffled.
     Given ``of``, only that table's points have edges, to others of points.
     """
     cols = [F.col(c).cast("double").alias(c) for c in coords]

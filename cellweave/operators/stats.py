@@ -162,14 +162,25 @@ def thresholds(ranked: DataFrame, min_support: int = 5, top: int = 4, npmi_range
     return pick("NPMI", npmi_range, "NPMI_thresh").join(pick("cond_prob", cond_range, "cond_prob_thresh"), "gene_i")
 
 
+#: Tests of a block, whose q-values one task finishes.
+BLOCK = 1 << 16
+
+
 def benjamini_hochberg(df: DataFrame, p: str = "p", name: str = "q", key: str = "id") -> DataFrame:
     """Adjusted p-values over all finite ones; others stay NULL.
 
-    For the tests of one report, a row per pair of groups and features: one task orders them.
+    Ranks come from a sort by range. Within blocks of ranks, and then over the blocks'
+    minima, the least adjusted value of all later ranks is carried down: no task holds all
+    tests, only one minimum for each block.
     """
+    from cellweave.sources.tables import number_rows
+
     ok = F.col(p).isNotNull() & ~F.isnan(p)
-    n = df.filter(ok).agg(F.count("*").alias("__m"))
-    w = W.orderBy(F.col(p).desc(), F.col(key).desc())
-    ranked = df.filter(ok).crossJoin(F.broadcast(n)).withColumn("__r", F.col("__m") - F.row_number().over(w) + 1)
-    q = F.least(F.lit(1.0), F.min(F.col(p) * F.col("__m") / F.col("__r")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return ranked.withColumn(name, q).drop("__m", "__r").unionByName(df.filter(~ok).withColumn(name, F.lit(None).cast("double")))
+    ranked = checkpoint(number_rows(df.filter(ok), [p, key], "__r"))
+    n = ranked.count()
+    ranked = ranked.withColumns({"__v": F.col(p) * F.lit(n) / (F.col("__r") + 1), "__b": F.floor(F.col("__r") / BLOCK)})
+    later = ranked.groupBy("__b").agg(F.min("__v").alias("__m")).withColumn("__after", F.min("__m").over(W.orderBy("__b").rowsBetween(1, W.unboundedFollowing))).drop("__m")
+    own = F.min("__v").over(W.partitionBy("__b").orderBy(F.desc("__r")).rowsBetween(W.unboundedPreceding, 0))
+    q = F.least(F.lit(1.0), "__own", "__after")
+    done = ranked.withColumn("__own", own).join(later, "__b").withColumn(name, q).select(*df.columns, name)
+    return done.unionByName(df.filter(~ok).withColumn(name, F.lit(None).cast("double")))

@@ -220,3 +220,27 @@ def test_queries_read_whole_tables(spark):
 
     ids = {r[0] for c in ("src", "dst") for r in QUERIES["delaunay_2d"](spark, DATA).select(c).collect()}
     assert len(ids) == spark.read.parquet(f"{DATA}/supplier.parquet").count()
+
+
+def test_crowded_cells_are_dealt_out(spark, monkeypatch):
+    p = np.random.default_rng(2).random((300, 3)) * [1, 1, 3]
+    df = points(spark, p).withColumnRenamed("id", "transcript_id")
+    want = sorted(map(tuple, graph.radius_knn(df, 5, 0.8).collect()))
+    monkeypatch.setattr(graph, "CROWD", 10)
+    assert sorted(map(tuple, graph.radius_knn(df, 5, 0.8).collect())) == want and len(want) == 1500
+
+
+@pytest.mark.parametrize("block", [3, 1 << 16])
+def test_adjusted_values_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(stats, "BLOCK", block)
+    r = np.random.default_rng(3)
+    p = [None if i % 11 == 0 else float(round(x, 2)) for i, x in enumerate(r.random(50) ** 2)] + [float("nan")]
+    got = {x["id"]: x["q"] for x in stats.benjamini_hochberg(spark.createDataFrame(list(enumerate(p)), "id long, p double")).collect()}
+    known = sorted((x, i) for i, x in enumerate(p) if x is not None and x == x)
+    least = 1.0
+    for rank in range(len(known), 0, -1):
+        x, i = known[rank - 1]
+        least = min(least, x * len(known) / rank)
+        assert got.pop(i) == pytest.approx(least)
+    assert set(got.values()) == {None}
+    assert stats.benjamini_hochberg(spark.createDataFrame([], "id long, p double")).count() == 0
