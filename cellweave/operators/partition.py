@@ -14,6 +14,10 @@ from cellweave.operators.graph import radius_knn, undirected
 from cellweave.util import checkpoint, release
 
 
+#: The share of cut edges that a turn of moves must save to be worth another.
+WORTH = 0.01
+
+
 def knn(points: DataFrame, k: int, coords: Sequence[str] = ("x", "y"), key: str = "cell_id") -> DataFrame:
     """Directed edges (src, dst, length) to the k nearest others, however far.
 
@@ -80,14 +84,14 @@ def partition_cells(cells: DataFrame, parts: int = 100, k: int = 10, key: str =
         moves = _moves(both, own, turn % 2 == 0, most, least)
         new = checkpoint(own.join(moves, "node", "left").select("node", F.coalesce("target", "partition").alias("partition")))
         cost = cut(new)
+        still = 0 if cost < now * (1 - WORTH) else still + 1
         if cost < now:
             release(own)
-            own, now, still = new, cost, 0
+            own, now = new, cost
         else:
             release(new)
-            still += 1
-            if still == 2:  # neither way helps
-                break
+        if still == 2:  # neither way helps much
+            break
     out = cells.join(own.withColumnRenamed("node", "__node"), F.col(key) == F.col("__node")).drop("__node")
     return out, now, first
 
