@@ -66,3 +66,15 @@ def test_nearest_keeps_no_pairs(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
     assert found.filter("entity_id = cast(transcript_id as string)").count() == 2000
+
+
+def crowds(spark):
+    ent = spark.range(500).selectExpr("cast(id as string) as entity_id", "id / 1000.0 as x", "0.0 as y", "0.0 as z", "'partial' as etype")
+    return spark.range(500).selectExpr("id as transcript_id", "'-1' as cell_id", "id / 1000.0 + 0.0001 as x", "0.0 as y", "0.0 as z"), ent
+
+
+def test_reassign_sorts_no_pairs(spark):
+    mol, ent = crowds(spark)
+    out = refine.reassign(mol, ent, "cell_id", "o", 5.0)
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.filter("o = cast(transcript_id as string)").count() == 500
