@@ -78,3 +78,11 @@ def test_reassign_sorts_no_pairs(spark):
     out = refine.reassign(mol, ent, "cell_id", "o", 5.0)
     assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
     assert out.filter("o = cast(transcript_id as string)").count() == 500
+
+
+def test_reassignment_stats_sort_no_pairs(spark):
+    mol, ent = crowds(spark)
+    out = refine.reassignment_stats(refine.nearest(mol, ent, 5.0), mol)
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    r = out.first()
+    assert (r["n_unassigned"], r["n_reassigned"]) == (500, 500) and r["max_distance"] == pytest.approx(1e-4)
