@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from cellweave.operators import near, refine
+from cellweave.operators import near, refine, stitch
 
 MOL = "transcript_id long, feature_name string, cell_id string, x double, y double, z double"
 
@@ -86,3 +86,33 @@ def test_reassignment_stats_sort_no_pairs(spark):
     assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
     r = out.first()
     assert (r["n_unassigned"], r["n_reassigned"]) == (500, 500) and r["max_distance"] == pytest.approx(1e-4)
+
+
+def test_pairs_within_equal_all_pairs(spark, small_tiles, monkeypatch):
+    monkeypatch.setattr(near, "PAIRED", 32)
+    monkeypatch.setattr(near, "BATCH", 50)
+    p = crowd(6, 300, 130)
+    rows = [(f"e{i}", *map(float, x)) for i, x in enumerate(p)] + [("n", None, 0.0, 0.0), ("i", math.inf, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "b string, x double, y double, z double")
+    for radius in (0.3, 2.0):
+        d = [(f"e{i}", f"e{j}", math.sqrt((x[0] - y[0]) ** 2 + (x[1] - y[1]) ** 2 + (x[2] - y[2]) ** 2)) for i, x in enumerate(p) for j, y in enumerate(p) if f"e{i}" < f"e{j}"]
+        want = sorted(x for x in d if x[2] <= radius)
+        assert sorted(tuple(r) for r in near.pairs_within(df, radius, ("x", "y", "z")).collect()) == want and want
+    assert near.pairs_within(df.limit(0), 1.0, ("x", "y", "z")).count() == 0
+
+
+@pytest.mark.parametrize("f", [stitch.gains, lambda *a: stitch.gains(*a, use_relu=False), stitch.gains_of_presence])
+def test_gains_by_matrix_equal_those_by_pairs(spark, monkeypatch, f):
+    rng = np.random.default_rng(7)
+    names = [f"g{i:02}" for i in range(21)]
+    w = spark.createDataFrame([(a, b, float(rng.normal(0, 0.2))) for i, a in enumerate(names) for b in names[i + 1 :] if rng.random() < 0.7], "gene_i string, gene_j string, npmi double")
+    ent = spark.createDataFrame([(f"e{i}", sorted(set(rng.choice([*names, "off"], int(rng.integers(0, 9))).tolist()))) for i in range(40)], "entity_id string, genes array<string>")
+    edges = spark.createDataFrame([(f"e{i}", f"e{j}") for i in range(40) for j in range(i + 1, 40)], "src string, dst string")
+    got = f(edges, ent, w)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    got = {(r["src"], r["dst"]): r["delta_c"] for r in got.collect()}
+    monkeypatch.setattr(stitch, "DENSE", 2)
+    want = {(r["src"], r["dst"]): r["delta_c"] for r in f(edges, ent, w).collect()}
+    assert got == pytest.approx(want, abs=1e-12) and len(got) == 780
+    none = w.limit(0)
+    assert f(edges, ent, none).count() == 780
