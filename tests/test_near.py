@@ -116,3 +116,20 @@ def test_gains_by_matrix_equal_those_by_pairs(spark, monkeypatch, f):
     assert got == pytest.approx(want, abs=1e-12) and len(got) == 780
     none = w.limit(0)
     assert f(edges, ent, none).count() == 780
+
+
+def dense_entities(spark, n):
+    names = [f"g{i:02}" for i in range(40)]
+    w = spark.createDataFrame([(a, b, ((7 * i + j) % 11 - 4) / 20) for i, a in enumerate(names) for j, b in enumerate(names) if a < b], "gene_i string, gene_j string, npmi double")
+    ent = spark.createDataFrame([(f"e{i:04}", i / 1000, 0.0, 0.0, [g for j, g in enumerate(names) if (i >> (j % 5)) % 2 or j % 3 == 0]) for i in range(n)], "entity_id string, x double, y double, z double, genes array<string>")
+    found = near.pairs_within(ent.withColumnRenamed("entity_id", "b"), 4.0, ("x", "y", "z"))
+    return w, ent, found.selectExpr("a as src", "b as dst")
+
+
+def test_presence_gains_of_a_crowd(spark):
+    """All 179 700 pairs of a crowd: their pairs of features, over 60 000 000, are no rows."""
+    w, ent, edges = dense_entities(spark, 600)
+    got = stitch.gains_of_presence(edges, ent, w)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "CartesianProduct" not in plan
+    assert got.count() == 600 * 599 // 2
