@@ -133,3 +133,14 @@ def test_presence_gains_of_a_crowd(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "CartesianProduct" not in plan
     assert got.count() == 600 * 599 // 2
+
+
+def test_one_shot_stitching_of_a_crowd(spark):
+    w, ent, edges = dense_entities(spark, 300)
+    gained = stitch.gains(edges, ent, w)
+    assert "Generate" not in gained._jdf.queryExecution().executedPlan().toString()
+    gained = {(r["src"], r["dst"]): r["delta_c"] for r in gained.collect()}
+    out = {r["entity_id"]: (r["stitched_cc_id"], r["deltaC_max"]) for r in stitch.stitch_once(ent.select("entity_id"), stitch.gains(edges, ent, w), "entity_id").collect()}
+    assert len(out) == 300 and len(gained) == 300 * 299 // 2
+    for (a, b), gain in gained.items():
+        assert gain < 0 or out[a][0] == out[b][0] and min(out[a][1], out[b][1]) >= gain
