@@ -4,8 +4,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from cellweave.operators import near, refine, stitch
+from cellweave.operators import graph, near, refine, stitch
 
 MOL = "transcript_id long, feature_name string, cell_id string, x double, y double, z double"
 
@@ -144,3 +145,30 @@ def test_one_shot_stitching_of_a_crowd(spark):
     assert len(out) == 300 and len(gained) == 300 * 299 // 2
     for (a, b), gain in gained.items():
         assert gain < 0 or out[a][0] == out[b][0] and min(out[a][1], out[b][1]) >= gain
+
+
+def test_linked_has_the_components_of_the_neighbour_graph(spark, small_tiles):
+    """Against the edges themselves, by way of a function of one's own; with many copies at one place, null labels and no coordinates."""
+    for seed, places, k in ((8, 60, 3), (9, None, 5), (10, 4, 6)):
+        p = crowd(seed, 400, places)
+        rows = [(i, "g", None if i % 17 == 0 else f"c{i % 3}", *map(float, x)) for i, x in enumerate(p)] + [(900, "g", "c0", None, 0.0, 0.0)]
+        df = spark.createDataFrame(rows, MOL)
+        got, want = (refine.split(df, "cell_id", "o", k, 1.0, neighbors=f) for f in (graph.radius_knn, lambda *a: graph.radius_knn(*a)))
+        assert sorted(map(tuple, got.select("transcript_id", "o").collect())) == sorted(map(tuple, want.select("transcript_id", "o").collect()))
+        assert got.select("o").distinct().count() > 6 or places == 4
+
+
+def test_split_ships_no_edge_between_labels(spark):
+    """3000 molecules at one place, no two of a label: no edge leaves its task."""
+    df = spark.range(3000).selectExpr("id as b", "cast(id as string) as label", "0.0 as x", "0.0 as y", "0.0 as z")
+    assert near.linked(df, 20, 1.0, ("x", "y", "z")).count() == 0
+    alike = near.linked(df.withColumn("label", F.lit("a")), 20, 1.0, ("x", "y", "z"))
+    assert alike.count() == 2999 and alike.filter("dst = 0").count() == 2999
+
+
+def test_tiles_where_nothing_is_near(spark):
+    mol = spark.createDataFrame([(1, "g", "-1", 0.0, 0.0, 0.0), (2, "g", "a", 3.0, 3.0, 0.0)], MOL)
+    ent = spark.createDataFrame([("e", 0.9, 0.9, 0.9)], "entity_id string, x double, y double, z double")
+    assert refine.nearest(mol, ent, 1.0).count() == 0
+    assert refine.split(mol, "cell_id", "o", 2, 1.0).select("o").distinct().count() == 2
+    assert near.pairs_within(ent.withColumnRenamed("entity_id", "b"), 1.0, ("x", "y", "z")).count() == 0
