@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,3 +173,36 @@ def test_tiles_where_nothing_is_near(spark):
     assert refine.nearest(mol, ent, 1.0).count() == 0
     assert refine.split(mol, "cell_id", "o", 2, 1.0).select("o").distinct().count() == 2
     assert near.pairs_within(ent.withColumnRenamed("entity_id", "b"), 1.0, ("x", "y", "z")).count() == 0
+
+
+def test_presence_gains_score_a_union_once(spark, monkeypatch):
+    """44 850 pairs of entities with 32 unions: a batch scores each of them once, not each pair's."""
+    w, ent, edges = dense_entities(spark, 300)
+    scored, plain = spark.sparkContext.accumulator(0), stitch._presence_score
+
+    def counted(sums, sets):
+        scored.add(len(sets))
+        return plain(sums, sets)
+
+    want = {(r["src"], r["dst"]): r["delta_c"] for r in stitch.gains_of_presence(edges, ent, w).collect()}
+    monkeypatch.setattr(stitch, "_presence_score", counted)
+    got = {(r["src"], r["dst"]): r["delta_c"] for r in stitch.gains_of_presence(edges, ent, w).collect()}
+    assert got == pytest.approx(want, abs=1e-12) and len(got) == 300 * 299 // 2
+    assert 32 <= scored.value < len(got) / 10
+
+
+@pytest.mark.parametrize("f", [2, 8, 21, 64, 65, 130])
+def test_united_sets_are_those_of_python(f):
+    rng = np.random.default_rng(f)
+    names = [f"g{i:03}" for i in range(f)]
+    sums = stitch._Sums([{"gene_i": a, "gene_j": b, "npmi": float(rng.normal(0, 0.2))} for a, b in zip(names, names[1:], strict=False)], 0.05, 0.05)
+    lists = [[], names, *[[g for g in [*names, "off"] if rng.random() < 0.3] for _ in range(6)]]
+    i, j = rng.integers(0, len(lists), (2, 300))
+    for kind in (pa.binary(), pa.large_binary()):
+        sides = [sums.packed(pa.array(lists, pa.list_(pa.string()))).take(pa.array(x)).cast(kind) for x in (i, j)]
+        for part in (slice(0, 300), slice(37, 190), slice(5, 5)):
+            sets, own = sums.united(*[s[part] for s in sides])
+            assert len(sets) == len({tuple(x) for x in sets.tolist()}) and sets.shape[1] == f
+            got = [{names[k] for k in np.flatnonzero(x)} for x in sets[own]]
+            assert got == [{*lists[a], *lists[b]} - {"off"} for a, b in zip(i[part], j[part], strict=True)]
+            assert len(sums.scores(stitch._presence_score, *[s[part] for s in sides])) == len(got)
